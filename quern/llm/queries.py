@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import licenses, secrets
+from quern.llm import licenses, mixing, secrets, sharding
 from quern.llm.common import Query, documents
 
 
@@ -16,9 +16,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(documents(spark, sf_dir))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(documents(spark, sf_dir))
+
+
+def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op3_secret_scan": op3_secret_scan,
+    "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
+    "op10_hilbert_shards": op10_hilbert_shards,
 }
 
 ORACLES: dict[str, str] = {}
