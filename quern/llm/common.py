@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Rows of a lookup side up to which a join may broadcast it; beyond, Spark joins by shuffle.
@@ -62,3 +64,12 @@ def unit(key: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def python_workers(spark: SparkSession, size: str = "8m") -> None:
+    """Make the package known to Python workers and let Arrow batches hold ``size`` of rows at most.
+
+    Long texts then don't add up in a worker.
+    """
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import licenses, mixing, secrets, sharding
+from quern.llm import licenses, mixing, neardup, secrets, sharding
 from quern.llm.common import Query, documents
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
@@ -25,6 +29,7 @@ def op10_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
