@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import licenses, mixing, neardup, quality, secrets, sharding
+from quern.llm import language, licenses, mixing, neardup, quality, secrets, sharding
 from quern.llm.common import Query, documents, table
 
 
@@ -32,10 +32,15 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
+    "op4_language_id": op4_language_id,
     "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
