@@ -140,6 +140,21 @@ def hypergeometric(population: Column, successes: Column, draws: Column, u: Colu
     return F.least(low.cast("bigint") + walked, high.cast("bigint"))
 
 
+def _draw(level: Column, node: Column, seed: int):
+    """The conditional draw for one source after another at a node, as a step of a fold."""
+
+    def step(acc: Column, x: Column) -> Column:
+        got = hypergeometric(acc["rest"], x["quota"], acc["draws"], _uniform(seed, level, node, x["sid"]))
+        kept = F.struct(x["sid"].alias("sid"), x["quota"].alias("quota"), got.alias("left"))
+        return F.struct(
+            (acc["rest"] - x["quota"]).alias("rest"),
+            (acc["draws"] - got).alias("draws"),
+            F.array_append(acc["out"], kept).alias("out"),
+        )
+
+    return step
+
+
 def split_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
     """Split the sources' block quotas (sid, quota) among 2**levels shards: rows (sid, shard, quota).
 
@@ -150,25 +165,15 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = 11) -> DataFrame:
     nodes = quotas.groupBy().agg(q.alias("q")).select(F.lit(0).alias("shard"), "q").where(F.size("q") > 0)
     for level in range(levels):
         total = F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a + x["quota"])
-        node = F.col("shard")
         zero = F.struct(
             F.col("total").alias("rest"),
             F.expr("(total + 1) div 2").alias("draws"),
             F.array().cast("array<struct<sid:int,quota:bigint,left:bigint>>").alias("out"),
         )
-
-        def step(acc: Column, x: Column, level: int = level, node: Column = node) -> Column:
-            u = _uniform(seed, F.lit(level), node, x["sid"])
-            got = hypergeometric(acc["rest"], x["quota"], acc["draws"], u)
-            kept = F.struct(x["sid"].alias("sid"), x["quota"].alias("quota"), got.alias("left"))
-            return F.struct(
-                (acc["rest"] - x["quota"]).alias("rest"),
-                (acc["draws"] - got).alias("draws"),
-                F.array_append(acc["out"], kept).alias("out"),
-            )
-
+        step = _draw(F.lit(level), F.col("shard"), seed)
         nodes = nodes.withColumn("total", total).withColumn("out", F.aggregate("q", zero, step, lambda acc: acc["out"]))
         child = lambda count: F.transform("out", lambda x: F.struct(x["sid"].alias("sid"), count(x).alias("quota")))
+        node = F.col("shard")
         left, right = child(lambda x: x["left"]), child(lambda x: x["quota"] - x["left"])
         nodes = cut(
             nodes.select(
