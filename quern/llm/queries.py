@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import language, licenses, mixing, neardup, quality, secrets, sharding
+from quern.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, sharding
 from quern.llm.common import Query, documents, table
 
 
@@ -36,11 +36,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents(spark, sf_dir))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op6_decontaminate": op6_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_hilbert_shards": op10_hilbert_shards,
