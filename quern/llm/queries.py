@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontaminate, language, licenses, mixing, neardup, quality, secrets, sharding, topk
+from quern.llm import decontaminate, language, licenses, mixing, neardup, personal, quality, secrets, sharding, topk
 from quern.llm.common import Query, documents, table
 
 
@@ -45,11 +45,16 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_mix_sources": op8_mix_sources,
