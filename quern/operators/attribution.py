@@ -29,7 +29,7 @@ def _raw(model: str, place: Column, n: Column, age_days: Column, half_life: int)
         inner = F.greatest(n - 2, F.lit(1))
         return F.when(n <= 2, 1).when(first | last, 2 * inner).otherwise(1)
     halvings = F.call_function("div", age_days.cast("bigint"), F.lit(half_life).cast("bigint")).cast("int")
-    return F.shiftleft(F.lit(1).cast("bigint"), F.greatest(F.lit(0), 40 - halvings))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), 40 - halvings))
 
 
 def weights(touches: DataFrame, keys: list[str], seq: str, age_days: str, models: tuple[str, ...] = MODELS, half_life: int = 7) -> DataFrame:

@@ -103,7 +103,7 @@ WITH o AS (
     WHEN 4 THEN 'paid' WHEN 5 THEN 'email' WHEN 6 THEN 'organic_social' WHEN 7 THEN 'referral' WHEN 8 THEN 'referral' ELSE 'direct' END AS channel
   FROM e0
 ), s AS (
-  SELECT *, 1 + sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS session_seq,
+  SELECT *, CAST(1 + sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id ORDER BY seen_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_seq,
     row_number() OVER (PARTITION BY visitor_id ORDER BY seen_at, event_id) AS touch_seq,
     row_number() OVER (PARTITION BY visitor_id ORDER BY seen_at DESC, event_id DESC) AS touch_back
   FROM (SELECT *, CAST(floor(epoch(seen_at)) AS BIGINT) - CAST(floor(epoch(lag(seen_at) OVER (PARTITION BY visitor_id ORDER BY seen_at, event_id))) AS BIGINT) AS gap FROM e)
