@@ -14,7 +14,7 @@ returned; an empty table gives an empty table; other columns of the input are ig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The base phrases and their labels, then notices by which the method adds labels.
@@ -31,16 +31,33 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+ALL = PHRASES + NOTICES
+N_PAIRS = [len(words.split()) - 1 for _, words in ALL]
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """One row per template word pair, and one (template -1) that every text's start marker meets."""
-    rows = [(-1, "", False, 0, 0, None, None)]
-    for tid, (label, words) in enumerate(PHRASES + NOTICES):
+    rows = [(-1, 0, None, None)]
+    for tid, (_, words) in enumerate(ALL):
         w = words.split()
-        rows += [(tid, label, tid < len(PHRASES), len(w) - 1, j, a, b) for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
-    df = spark.createDataFrame(rows, "tid int, label string, is_base boolean, pairs int, tpos int, w1 string, w2 string")
+        rows += [(tid, j, a, b) for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    df = spark.createDataFrame(rows, "tid int, tpos int, w1 string, w2 string")
     return df.withColumn("gram", F.when(F.col("tid") == -1, F.lit(0).cast("bigint")).otherwise(F.xxhash64("w1", "w2")))
 
 
+def pairs() -> Column:
+    """Word pairs of a row's template; null for the start marker."""
+    return F.get(F.array(*[F.lit(n) for n in N_PAIRS]), F.col("tid"))
+
+
+def is_base() -> Column:
+    return F.col("tid").between(0, len(PHRASES) - 1)
+
+
+def label() -> Column:
+    return F.get(F.array(*[F.lit(name) for name, _ in ALL]), F.col("tid"))
+
+
 def votes(docs: DataFrame) -> DataFrame:
     """Votes by document, template and diagonal: a bit for each template pair met, and the places.
 
@@ -50,7 +67,7 @@ def votes(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # lower() agrees with A-Z folding on ASCII words except for the two letters that it maps into ASCII.
-    low = F.when(text.rlike("[İK]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    low = F.when(text.rlike("[İK]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
     words = F.concat(F.array(F.lit("\x00")), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
     each = docs.select("doc_id", F.xxhash64("text").alias("h"), words.alias("words")).select("*", F.posexplode("words").alias("at", "word"))
     second = F.get("words", F.col("at") + 1)
@@ -59,7 +76,7 @@ def votes(docs: DataFrame) -> DataFrame:
     same = (F.col("at") == 0) | ((F.col("word") == F.col("w1")) & (second == F.col("w2")))
     met = each.withColumn("g", gram).join(t, (F.col("g") == F.col("gram")) & same)
     place = F.col("at") - 1
-    return met.groupBy("doc_id", "h", "tid", "label", "is_base", "pairs", (place - F.col("tpos")).alias("diagonal")).agg(
+    return met.groupBy("doc_id", "h", "tid", (place - F.col("tpos")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"),
         F.min(place).alias("first"),
         F.max(place + 1).alias("last"),
@@ -78,39 +95,45 @@ def runs(voted: DataFrame, shift: int = 3, coverage: float = 0.6) -> DataFrame:
     one = Window.partitionBy("doc_id", "h", "tid").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(one) > shift, F.lit(True))
     run = F.sum(apart.cast("int")).over(one.rowsBetween(Window.unboundedPreceding, 0))
-    exact = F.col("is_base") & (F.col("mask") == F.expr("shiftleft(1L, pairs) - 1"))
+    whole = is_base() & (F.col("mask") == F.call_function("shiftleft", F.lit(1).cast("bigint"), pairs()) - 1)
     is_doc = F.col("tid") == -1
     merged = (
         voted.withColumn("run", run)
-        .groupBy("doc_id", "h", "tid", "label", "is_base", "pairs", "run")
+        .withColumn("whole", F.coalesce(whole, F.lit(False)))
+        .groupBy("doc_id", "h", "tid", "run")
         .agg(
             F.bit_or("mask").alias("mask"),
             F.min("first").alias("first"),
             F.max("last").alias("last"),
-            F.count_if(exact).alias("n_base"),
-            F.min(F.when(exact, F.col("diagonal"))).alias("first_word"),
-            F.max(F.when(exact, F.col("diagonal"))).alias("last_word"),
+            F.count_if("whole").alias("n_base"),
+            F.min(F.when(F.col("whole"), F.col("diagonal"))).alias("first_word"),
+            F.max(F.when(F.col("whole"), F.col("diagonal"))).alias("last_word"),
             F.max(F.when(is_doc, F.col("n"))).alias("copies"),
             F.max(F.when(is_doc, F.col("n_words"))).alias("n_words"),
         )
-        .withColumn("cover", F.when(~is_doc, F.bit_count("mask") / F.col("pairs")))
+        .withColumn("cover", F.bit_count("mask") / pairs())
     )
-    short = F.col("last") - F.col("first") + 1 <= 1.5 * (F.col("pairs") + 1)
+    short = F.col("last") - F.col("first") + 1 <= 1.5 * (pairs() + 1)
     return merged.withColumn("held", F.coalesce((F.col("cover") >= coverage) & short, F.lit(False)))
 
 
 def spans(docs: DataFrame, shift: int = 3, coverage: float = 0.6) -> DataFrame:
     """Verified spans: document, label, first and last word, share of the template held."""
     found = runs(votes(docs), shift, coverage).where("held")
-    return found.select("doc_id", "label", F.col("first").alias("first_word"), F.col("last").alias("last_word"), "cover")
+    return found.select("doc_id", label().alias("label"), F.col("first").alias("first_word"), F.col("last").alias("last_word"), "cover")
+
+
+def _labels(mask: str) -> Column:
+    """The labels whose bits are set, sorted and joined."""
+    names = sorted((name, 1 << tid) for tid, (name, _) in enumerate(ALL))
+    return F.concat_ws(",", *[F.when(F.col(mask).bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in names])
 
 
 def digest(docs: DataFrame, shift: int = 3, coverage: float = 0.6) -> DataFrame:
     """One row per document: word and phrase counts, places, labels and the best coverage as score."""
-    held, whole = F.col("held"), F.col("n_base") > 0
-    base_label = F.when(whole, F.col("label"))
-    label = F.when(held & ~F.col("is_base"), F.col("label"))
-    joined = lambda *sets: F.array_join(F.array_sort(F.array_distinct(F.concat(*sets))), ",")
+    found, whole = F.col("held"), F.col("n_base") > 0
+    bit = F.call_function("shiftleft", F.lit(1), F.greatest(F.col("tid"), F.lit(0)))
+    named = lambda c: F.coalesce(F.bit_or(F.when(c, bit)), F.lit(0))
     return (
         runs(votes(docs), shift, coverage)
         .groupBy("doc_id", "h")
@@ -119,14 +142,14 @@ def digest(docs: DataFrame, shift: int = 3, coverage: float = 0.6) -> DataFrame:
             F.sum("n_base").cast("bigint").alias("n_base"),
             F.min("first_word").cast("bigint").alias("first_word"),
             F.max("last_word").cast("bigint").alias("last_word"),
-            F.collect_set(base_label).alias("base"),
-            F.collect_set(label).alias("more"),
-            F.coalesce(F.max(F.when(held | whole, F.greatest("cover", whole.cast("double")))), F.lit(0.0)).alias("score"),
+            named(whole).alias("base"),
+            named(whole | (found & ~is_base())).alias("more"),
+            F.coalesce(F.max(F.when(found | whole, F.greatest("cover", whole.cast("double")))), F.lit(0.0)).alias("score"),
             F.max("copies").alias("copies"),
         )
         .select(
             "doc_id", "n_words", "n_base", "first_word", "last_word",
-            joined("base").alias("base_labels"), joined("base", "more").alias("labels"), "score",
+            _labels("base").alias("base_labels"), _labels("more").alias("labels"), "score",
             F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"),
         )
         .drop("copy")
