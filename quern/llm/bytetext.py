@@ -1,7 +1,7 @@
 """Numpy kernels over the UTF-8 bytes of a batch of texts: words, word shingles and weighted sets.
 
-Texts come as an Arrow string array; its buffers are read in place. Work goes in slices of a few
-megabytes of text, so that a task's memory doesn't follow the batch. Words are runs of ASCII
+Texts come as an Arrow string array; its buffers are read in place. Work goes in slices of half a
+megabyte of text, so that a task's memory doesn't follow the batch. Words are runs of ASCII
 letters and digits and of all non-ASCII bytes; A-Z count as a-z.
 """
 
@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1 << 19
 
 _U = np.uint64
 _WORD = np.zeros(256, bool)

@@ -38,7 +38,9 @@ LEAST_WORDS = 5
 REPEATS = 8
 SAMPLED = 3
 BLOCK_WORDS = 1_000_000
-BITS = 20
+FIRST_BITS = 20
+PREFIX_BITS = 18
+SLICE_BYTES = 1 << 21
 
 _U = np.uint64
 
@@ -87,7 +89,7 @@ def _walked(syms: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
         if tables is None:
             prefixes.append(key)
         else:
-            stay = tables[k][(key >> _U(64 - BITS)).astype(np.int64)]
+            stay = tables[k][(key >> _U(64 - PREFIX_BITS)).astype(np.int64)]
             alive, key, at, end = alive[stay], key[stay], at[stay], end[stay]
     return (key, alive) if tables is not None else prefixes
 
@@ -103,10 +105,10 @@ class Index:
                 if first[i + 1] - first[i] >= least_words:
                     self.ids.append(item_ids[low + i])
                     self.items.append(hashes[first[i] : first[i + 1]])
-        self.first = np.zeros(1 << BITS, bool)
+        self.first = np.zeros(1 << FIRST_BITS, bool)
         by_length: dict[int, list[int]] = {}
         for i, item in enumerate(self.items):
-            self.first[(symbols(item) >> _U(64 - BITS)).astype(np.int64)] = True
+            self.first[(symbols(item) >> _U(64 - FIRST_BITS)).astype(np.int64)] = True
             by_length.setdefault(window_length(len(item)), []).append(i)
         self.plans = []
         for length, members in sorted(by_length.items()):
@@ -121,10 +123,10 @@ class Index:
                 prefixes = _walked(all_syms, begin, end, length, repeat, None)
                 tables = []
                 for p in prefixes[1:]:
-                    tables.append(np.zeros(1 << BITS, bool))
-                    tables[-1][(p >> _U(64 - BITS)).astype(np.int64)] = True
+                    tables.append(np.zeros(1 << PREFIX_BITS, bool))
+                    tables[-1][(p >> _U(64 - PREFIX_BITS)).astype(np.int64)] = True
                 order = np.argsort(prefixes[-1], kind="stable")
-                self.plans.append((length, repeat, [np.packbits(t) for t in tables], prefixes[-1][order], item[order], offset[order]))
+                self.plans.append((length, repeat, tables, prefixes[-1][order], item[order], offset[order]))
 
     def candidates(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (text, item, word at which the item would begin) that some repeat proposes."""
@@ -132,13 +134,12 @@ class Index:
             return np.zeros((0, 3), np.int64)
         syms = symbols(hashes)
         text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))[:-1]
-        begins = np.flatnonzero(self.first[(syms >> _U(64 - BITS)).astype(np.int64)])
+        begins = np.flatnonzero(self.first[(syms >> _U(64 - FIRST_BITS)).astype(np.int64)])
         begins = begins[begins + 1 < first[text_of[begins] + 1]]  # a pair of words of one text
         ends = first[text_of[begins] + 1] - 1
         found = []
         for length, repeat, tables, keys, item, offset in self.plans:
-            bitmaps = [np.unpackbits(t).view(bool) for t in tables]
-            key, window = _walked(syms, begins, ends, length, repeat, bitmaps)
+            key, window = _walked(syms, begins, ends, length, repeat, tables)
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             count = high - low
             if count.any():
@@ -198,7 +199,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list, list
 
 
 def _scan(batch: pa.RecordBatch, index: Index, share: float) -> Iterator[tuple[int, int, int, int]]:
-    for low, _, raw, offsets in slices(batch.column("text")):
+    for low, _, raw, offsets in slices(batch.column("text"), SLICE_BYTES):
         hashes, _, _, first = words(raw, offsets)
         for t, i, d, e in index.verified(hashes, first, share):
             yield low + t, i, d, e
