@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 BIG = "decimal(38,0)"
 
 
-def _over(total: Column, weight: Column, weights: Column) -> Column:
-    """Whole part of |total| * weight / weights, by integers of 38 digits."""
-    return F.floor(F.abs(total.cast(BIG)) * weight.cast(BIG) / weights.cast(BIG)).cast("bigint")
+def _whole_part(product: Column, divisor: Column) -> Column:
+    """Integer quotient of decimals of 38 digits, toward zero."""
+    return ((product - product % divisor) / divisor).cast("bigint")
 
 
 def apportion(rows: DataFrame, keys: list[str], total: str, weight: str, order: list[Column], name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def apportion(rows: DataFrame, keys: list[str], total: str, weight: str, order:
     some = w > 0
     product = F.abs(F.col(total).cast(BIG)) * F.col(weight).cast(BIG)
     safe = F.when(some, w).otherwise(F.lit(1)).cast(BIG)
-    part = F.when(some, (product - product % safe) / safe).otherwise(F.lit(0)).cast("bigint")
+    part = F.when(some, _whole_part(product, safe)).otherwise(F.lit(0)).cast("bigint")
     rows = rows.withColumn("_part", part).withColumn("_rest", F.when(some, product % safe).otherwise(F.lit(0).cast(BIG)))
     rows = rows.withColumn("_left", F.abs(F.col(total)) - F.sum("_part").over(group)).withColumn("_some", some)
     place = F.row_number().over(group.orderBy(F.desc("_rest"), *order))
@@ -38,7 +38,8 @@ def apportion_to_top(rows: DataFrame, keys: list[str], total: str, weight: str,
     """Split by integer-divided weight; what is left goes to the first row in ``order``."""
     group = Window.partitionBy(*keys)
     rows = rows.withColumn("_w", F.sum(F.col(weight)).over(group))
-    part = F.when(F.col("_w") != 0, F.call_function("div", F.col(total) * F.col(weight), F.col("_w"))).otherwise(F.lit(0))
+    product = F.col(total).cast(BIG) * F.col(weight).cast(BIG)
+    part = F.when(F.col("_w") != 0, _whole_part(product, F.nullif(F.col("_w"), F.lit(0)).cast(BIG))).otherwise(F.lit(0))
     rows = rows.withColumn("_p", part.cast("bigint"))
     left = F.col(total) - F.sum("_p").over(group)
     first = F.row_number().over(group.orderBy(*order)) == 1
