@@ -8,9 +8,11 @@
    the signature is the earliest of its points, so two components agree with a probability equal
    to the weighted Jaccard similarity. Points after an adaptive stop time can't count and are
    never made; a text whose components aren't all met by then goes on with twice the time.
-3. Bands of the signature are buckets. Texts of a bucket are compared with its smallest text,
-   then, where a bucket still spans several components, with all its texts of other components.
-   So every link that joins two components is found and pairs within a component never are made.
+3. Bands of the signature are buckets. Texts of a bucket are compared with its smallest text.
+   Where buckets still span several components, the texts that such buckets connect make a group,
+   and all its texts of different components are compared: in blocks of bounded size, two blocks
+   a task, by products of their incidence matrices. A task gives only the links that join
+   components, so pairs are neither listed nor moved, and no link between components is lost.
 4. A pair counts if the exact multiset overlap of its whole texts reaches the threshold. Components
    follow by min-label propagation over verified links.
 
@@ -36,6 +38,7 @@ from quern.llm.common import cut, lookup, python_workers
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
+BLOCK = 128
 
 _U = np.uint64
 
@@ -170,6 +173,82 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _elements(k: int):
+    """Texts to sets of 64-bit elements; the n-th time that a shingle occurs is an element of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, text, element, count in weighted(batch.column("text"), k):
+                of = np.repeat(np.arange(len(text)), count)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                value = mix(element[of] ^ (nth.astype(np.uint64) << _U(48)))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(text[of], minlength=high - low))))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(low, high - low), lists], names=["h", "elements"])
+
+    return run
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all sets of ``y``."""
+    ex, ey = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(ex, ey)
+    rx, ry = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def places(elements: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, elements), len(both) - 1)
+        known = both[at] == elements
+        return at[known], rows[known]
+
+    if len(both):
+        (cx, rx), (cy, ry) = places(ex, rx), places(ey, ry)
+        for low in range(0, len(both), columns):
+            mx, my = np.zeros((len(x), columns), np.float32), np.zeros((len(y), columns), np.float32)
+            for m, c, r in ((mx, cx, rx), (my, cy, ry)):
+                here = (c >= low) & (c < low + columns)
+                m[r[here], c[here] - low] = 1
+            out += mx @ my.T
+    return out
+
+
+def _joining(rest: DataFrame, own, k: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components among the texts of torn buckets (rows band, h, b, comp)."""
+    group = components(rest.select(F.col("h").alias("a"), "b").distinct()).withColumnRenamed("comp", "g")
+    nodes = cut(rest.select("h", "comp").distinct().join(group, "h"))
+    sizes = nodes.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    dealt = nodes.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int"))
+    sets = own(nodes.select("h")).mapInArrow(_elements(k), "h binary, elements array<bigint>")
+    rows = dealt.join(sets, "h").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "h", "comp", "elements")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        x, y = frame[frame["i"] == low], frame[frame["i"] == high]
+        found = []
+        if len(x) and len(y):
+            sx, sy = ([np.asarray(v, np.int64) for v in f["elements"]] for f in (x, y))
+            shared = _shared(sx, sy)
+            nx, ny = np.array([len(v) for v in sx]), np.array([len(v) for v in sy])
+            alike = shared >= threshold * (nx[:, None] + ny[None, :] - shared) - 1e-6
+            cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
+            at = {c: c for c in (*cx, *cy)}
+
+            def top(c: bytes) -> bytes:
+                while at[c] != c:
+                    c = at[c]
+                return c
+
+            for p, q in zip(*np.nonzero(alike), strict=True):
+                a, b = top(cx[p]), top(cy[q])
+                if a != b:
+                    at[max(a, b)] = min(a, b)
+                    found.append((cx[p], cy[q]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return cut(rows.groupBy("g", "lo", "hi").applyInPandas(compare, "a binary, b binary"))
+
+
 def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per different text: h, its smallest doc_id and ``comp``, the digest that names its class."""
     m = bands * rows
@@ -177,10 +256,9 @@ def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD,
     full = signed.where(F.col("weight") > 0)
     texts = docs.select(F.col("doc_id").alias("_id"), digest_of(F.col("text")).alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def own(links: DataFrame) -> DataFrame:
-        """The texts at the ends of ``links``, each from the document of its smallest doc_id."""
-        ends = links.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        ends = cut(ends.join(signed.select("h", "doc_id"), "h"))
+    def own(hs: DataFrame) -> DataFrame:
+        """The texts of digests ``h``, each from the document of its smallest doc_id."""
+        ends = cut(hs.distinct().join(signed.select("h", "doc_id"), "h"))
         at = (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("doc_id"))
         return lookup(texts, ends, at, "inner").select("h", "text").dropDuplicates(["h"])
 
@@ -192,18 +270,16 @@ def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD,
     pairs = member.where(F.col("h") != F.col("b")).select(F.col("h").alias("a"), "b").distinct()
     pairs = pairs.join(x, F.col("a") == F.col("x.h")).join(y, F.col("b") == F.col("y.h")).where(_near("x", "y", threshold, m)).select("a", "b")
     used = cut(pairs)
-    links = cut(verified(used, own(used), k, threshold))
+    links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold))
     comp = components(links)
-    placed = member.join(comp, "h", "left").select("band", "h", F.coalesce("comp", "h").alias("comp"))
+    placed = cut(member.join(comp, "h", "left").select("band", "h", "b", F.coalesce("comp", "h").alias("comp")))
     torn = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("band")
-    rest = cut(placed.join(torn, "band", "left_semi").join(figures, "h"))
-    p, q = rest.alias("p"), rest.alias("q")
-    apart = (F.col("p.band") == F.col("q.band")) & (F.col("p.h") < F.col("q.h")) & (F.col("p.comp") != F.col("q.comp"))
-    again = p.join(q, apart & _near("p", "q", threshold, m)).select(F.col("p.h").alias("a"), F.col("q.h").alias("b")).distinct()
-    again = cut(again.join(used, ["a", "b"], "left_anti").join(used.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"))
-    if again.limit(1).count():
-        links = links.unionByName(verified(again, own(again), k, threshold))
-        comp = components(links)
+    rest = cut(placed.join(torn, "band", "left_semi"))
+    if rest.limit(1).count():
+        more = _joining(rest, own, k, threshold)
+        if more.limit(1).count():
+            links = links.select("a", "b").union(more)
+            comp = components(links)
     return signed.select("h", "doc_id").join(comp, "h", "left").select("h", "doc_id", F.coalesce("comp", "h").alias("comp"))
 
 
