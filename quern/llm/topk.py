@@ -5,8 +5,10 @@ bounded size; a block's index holds, for each dimension, its postings in order o
 into segments of equal quantised level. A query takes the segments of all dimensions by
 descending product of its own component with the segment's level, stage by stage. After a stage
 every vector has an upper bound (what it has, plus the stage's threshold for each dimension that it
-hasn't been met in) and a lower bound. Work on a block stops only on proof: when few vectors have an
-upper bound that reaches the k-th best lower bound. Those are rescored from their whole vectors.
+hasn't been met in) and a lower bound. Only vectors whose upper bound reaches the k-th best lower
+bound can be members; no others are ever left out. Stages go on while they at least halve those
+possible members, since scoring a few of them is cheaper than a further stage; the possible
+members are then scored from their whole vectors.
 
 Queries are a stated part of all rows; they meet the index in blocks, so each pair of blocks is one
 row, joined by the number of the query block, and only k rows a query leave a block.
@@ -51,6 +53,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
+        self.reach = int(np.abs(vectors).max(initial=0))
+        self.whole = vectors.astype(np.float64)  # for exact products in floating point while they are under 2**53
         order = np.argsort(vectors, axis=0, kind="stable")
         values = np.take_along_axis(vectors, order, axis=0)
         level = values >> LEVEL_BITS
@@ -64,6 +68,13 @@ class Block:
             self.levels.append(level[first, d])
         self.dims, self.starts, self.ends, self.levels = (np.concatenate(x) for x in (self.dims, self.starts, self.ends, self.levels))
 
+    def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.reach * int(np.abs(q).sum()) < 2**53:
+            f = q.astype(np.float64)
+            scores = (self.whole @ f)[rows] if 2 * len(rows) > len(self.whole) else self.whole[rows] @ f
+            return scores.astype(np.int64)
+        return self.vectors[rows] @ q
+
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(vec_id, score) of the k best vectors of the block, ties to smaller ids."""
         alive = np.flatnonzero(self.ids != query_id)
@@ -90,10 +101,10 @@ class Block:
                 ahead = int(bound[used[first + step]]) if first + step < len(used) else 0
                 lower = acc[alive] + rest * floor
                 kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-                candidates = alive[acc[alive] + rest * ahead >= kth]
-                if len(candidates) <= max(4 * k, len(alive) // 64):
+                before, candidates = len(candidates), alive[acc[alive] + rest * ahead >= kth]
+                if len(candidates) <= 4 * k or 2 * len(candidates) > before:
                     break
-        scores = self.vectors[candidates] @ q
+        scores = self._scores(candidates, q)
         best = np.lexsort((self.ids[candidates], -scores))[:k]
         return self.ids[candidates][best], scores[best]
 
@@ -128,9 +139,11 @@ def top_k(
                 ids, v = np.asarray(row.block_ids, np.int64), np.asarray(row.block_v, np.int64).reshape(-1, row.dims)
                 asked_ids, asked_v = np.asarray(row.query_ids, np.int64), np.asarray(row.query_v, np.int64).reshape(-1, row.dims)
                 block = Block(ids, v)
-                for at, (query_id, q) in enumerate(zip(asked_ids, asked_v, strict=True)):
-                    found, scores = block.top(int(query_id), q, k)
-                    yield pd.DataFrame({"query_id": query_id, "at": (int(row.query) << 32) + at, "dims": row.dims, "vec_id": found, "score": scores})
+                best = [block.top(int(i), q, k) for i, q in zip(asked_ids, asked_v, strict=True)]
+                n = [len(f) for f, _ in best]
+                at = (int(row.query) << 32) + np.repeat(np.arange(len(best)), n)
+                found, scores = (np.concatenate([b[i] for b in best]) for i in (0, 1))
+                yield pd.DataFrame({"query_id": np.repeat(asked_ids, n), "at": at, "dims": np.int32(row.dims), "vec_id": found, "score": scores})
 
     found = both.select("query", "dims", "block_ids", "block_v", "query_ids", "query_v").mapInPandas(
         search, "query_id bigint, at bigint, dims int, vec_id bigint, score bigint"
