@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from quern.plans import customers, journeys, metrics, platform, products, revenue, upkeep  # noqa: E402,F401
+from quern.plans import customers, journeys, metrics, platform, products, reads, revenue, upkeep  # noqa: E402,F401
