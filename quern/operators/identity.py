@@ -3,22 +3,12 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import deterministic_id, ladder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's shared checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", own))
-    return df.checkpoint(eager=True)
+from quern.session import stored
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
