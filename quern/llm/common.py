@@ -2,35 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import ship
+from quern.session import ship, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+cut = stored
+
 #: Rows of a lookup side up to which a join may broadcast it; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. A folder of our own is set only where
-    none is configured, which is the case in single-machine tests.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", own))
-    return df.checkpoint(eager=True)
-
-
 def lookup(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``df`` with a lookup side that is broadcast only after its rows have been counted.
 
@@ -62,10 +48,6 @@ def unit(key: Column) -> Column:
     return F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
 def python_workers(spark: SparkSession, size: str = "8m") -> None:
     """Make the package known to Python workers and let Arrow batches hold ``size`` of rows at most.
 
@@ -75,5 +57,5 @@ def python_workers(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.bytetext import mix, overlap, unit, weighted
 from quern.llm.common import cut, lookup, python_workers
+from quern.operators.identity import components as linked
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -155,22 +156,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(h, comp) of every end of an edge (a, b): comp is the smallest h that it can reach.
-
-    Labels pass along edges and are then jumped over (a node takes its label's label), each round
-    cut; the rounds are as the logarithm of the longest chain.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "h"))
-    while True:
-        near = both.join(labels.select(F.col("h").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        told = labels.join(near, labels["h"] == near["a"]).select("h", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        above = labels.select(F.col("h").alias("comp"), F.col("comp").alias("up"))
-        jumped = cut(told.join(above, "comp", "left").select("h", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        changed = jumped.where(F.col("old") != F.col("comp")).limit(1).count()
-        labels = jumped.select("h", "comp")
-        if not changed:
-            return labels
+    """(h, comp) of every end of an edge (a, b): comp is the smallest h that it can reach."""
+    return linked(edges).select(F.col("node").alias("h"), F.col("component").alias("comp"))
 
 
 def _elements(k: int):
