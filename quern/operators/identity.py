@@ -52,17 +52,17 @@ def canonical(aliases: DataFrame, rounds: int = 50) -> DataFrame:
 def resolve_unique(lanes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
     """The one profile that all of a row's identifiers agree on, or null: never a guess.
 
-    ``lanes`` has keys, identifier_type, identifier_hash; ``links`` maps those to brain_id.
+    ``lanes`` has keys, identifier_type, identifier_hash; ``links`` maps those to profile_id.
     """
     met = lanes.join(links, ["identifier_type", "identifier_hash"], "left")
-    found = met.groupBy(*keys).agg(F.collect_set("brain_id").alias("_b"), F.array_sort(F.collect_set(F.when(F.col("brain_id").isNotNull(), F.col("identifier_type")))).alias("matched_via"))
+    found = met.groupBy(*keys).agg(F.collect_set("profile_id").alias("_b"), F.array_sort(F.collect_set(F.when(F.col("profile_id").isNotNull(), F.col("identifier_type")))).alias("matched_via"))
     n = F.size("_b")
-    return found.select(*keys, F.when(n == 1, F.col("_b")[0]).alias("brain_id"), n.alias("candidates"), "matched_via")
+    return found.select(*keys, F.when(n == 1, F.col("_b")[0]).alias("profile_id"), n.alias("candidates"), "matched_via")
 
 
 def guarded_links(links: DataFrame, most: int = 10) -> DataFrame:
     """Links of identifiers that at most ``most`` profiles share; shared ones (family phones) are suppressed."""
-    shared = links.groupBy("identifier_type", "identifier_hash").agg(F.count_distinct("brain_id").alias("_n"))
+    shared = links.groupBy("identifier_type", "identifier_hash").agg(F.count_distinct("profile_id").alias("_n"))
     return links.join(shared.where(F.col("_n") <= most).drop("_n"), ["identifier_type", "identifier_hash"], "left_semi")
 
 
@@ -96,15 +96,15 @@ def reversion(events: DataFrame, merges: DataFrame, keys: list[str], order: list
     """A versioned ledger after profiles were merged: current rows of absorbed profiles are flipped off and
     appended anew under the surviving profile with a higher version, numbered in order again.
 
-    ``events`` has brain_id, data_version, is_current; ``merges`` maps node to canonical.
+    ``events`` has profile_id, data_version, is_current; ``merges`` maps node to canonical.
     """
-    m = merges.where(F.col("node") != F.col("canonical")).select(F.col("node").alias("brain_id"), "canonical")
-    hit = events.join(m, "brain_id", "left")
+    m = merges.where(F.col("node") != F.col("canonical")).select(F.col("node").alias("profile_id"), "canonical")
+    hit = events.join(m, "profile_id", "left")
     moved = F.col("is_current") & F.col("canonical").isNotNull()
     old = hit.withColumn("is_current", F.col("is_current") & F.col("canonical").isNull())
-    new = hit.where(moved).withColumn("brain_id", F.col("canonical")).withColumn("data_version", F.col("data_version") + 1)
+    new = hit.where(moved).withColumn("profile_id", F.col("canonical")).withColumn("data_version", F.col("data_version") + 1)
     out = old.unionByName(new).drop("canonical")
-    w = Window.partitionBy("brain_id", "is_current").orderBy(*order)
+    w = Window.partitionBy("profile_id", "is_current").orderBy(*order)
     return out.withColumn("sequence", F.when(F.col("is_current"), F.row_number().over(w)))
 
 

@@ -249,12 +249,12 @@ gd AS (SELECT * FROM ln WHERE (t, h) IN (SELECT (t, h) FROM ln GROUP BY t, h HAV
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir)
     pair = lambda t, m: F.struct(F.lit(t).alias("identifier_type"), (F.col("customer_id") % m).alias("identifier_hash"))
-    return o.select(F.col("customer_id").alias("brain_id"), F.inline(F.array(pair("email", 400), pair("phone", 700)))).distinct()
+    return o.select(F.col("customer_id").alias("profile_id"), F.inline(F.array(pair("email", 400), pair("phone", 700)))).distinct()
 
 
 @query(
     "s27_resolve_unique",
-    sql(LINK_SQL + """SELECT o.order_id, CASE WHEN count(DISTINCT gd.b) = 1 THEN min(gd.b) END AS brain_id, CAST(count(DISTINCT gd.b) AS INTEGER) AS candidates, coalesce(string_agg(DISTINCT gd.t, ',' ORDER BY gd.t), '') AS matched_via
+    sql(LINK_SQL + """SELECT o.order_id, CASE WHEN count(DISTINCT gd.b) = 1 THEN min(gd.b) END AS profile_id, CAST(count(DISTINCT gd.b) AS INTEGER) AS candidates, coalesce(string_agg(DISTINCT gd.t, ',' ORDER BY gd.t), '') AS matched_via
   FROM o CROSS JOIN (VALUES ('email'), ('phone')) AS k(t) LEFT JOIN gd ON gd.t = k.t AND gd.h = CASE k.t WHEN 'email' THEN o.customer_id % 400 ELSE o.customer_id % 700 END GROUP BY 1"""),
 )
 def resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,16 +295,16 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "g38_reversion",
     sql("""
-, jv AS (SELECT event_id, visitor_id AS brain_id, seen_at, 1 AS data_version, true AS is_current FROM e),
-rv AS (SELECT event_id, brain_id, seen_at, data_version, NOT (brain_id % 10 = 0 AND brain_id > 0) AS is_current FROM jv UNION ALL SELECT event_id, brain_id - 1, seen_at, 2, true FROM jv WHERE brain_id % 10 = 0 AND brain_id > 0)
-SELECT event_id, brain_id, data_version, is_current, CASE WHEN is_current THEN row_number() OVER (PARTITION BY brain_id, is_current ORDER BY seen_at, event_id) END AS sequence FROM rv"""),
+, jv AS (SELECT event_id, visitor_id AS profile_id, seen_at, 1 AS data_version, true AS is_current FROM e),
+rv AS (SELECT event_id, profile_id, seen_at, data_version, NOT (profile_id % 10 = 0 AND profile_id > 0) AS is_current FROM jv UNION ALL SELECT event_id, profile_id - 1, seen_at, 2, true FROM jv WHERE profile_id % 10 = 0 AND profile_id > 0)
+SELECT event_id, profile_id, data_version, is_current, CASE WHEN is_current THEN row_number() OVER (PARTITION BY profile_id, is_current ORDER BY seen_at, event_id) END AS sequence FROM rv"""),
 )
 def reversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journey rows of merged profiles appended as a new version, numbered again."""
-    rows = touches(spark, sf_dir).select("event_id", F.col("visitor_id").alias("brain_id"), "seen_at", F.lit(1).alias("data_version"), F.lit(True).alias("is_current"))
-    ids = rows.select("brain_id").distinct().where((F.col("brain_id") % 10 == 0) & (F.col("brain_id") > 0))
-    out = I.reversion(rows, ids.select(F.col("brain_id").alias("node"), (F.col("brain_id") - 1).alias("canonical")), ["event_id"], [F.col("seen_at"), F.col("event_id")])
-    return out.select("event_id", "brain_id", "data_version", "is_current", "sequence")
+    rows = touches(spark, sf_dir).select("event_id", F.col("visitor_id").alias("profile_id"), "seen_at", F.lit(1).alias("data_version"), F.lit(True).alias("is_current"))
+    ids = rows.select("profile_id").distinct().where((F.col("profile_id") % 10 == 0) & (F.col("profile_id") > 0))
+    out = I.reversion(rows, ids.select(F.col("profile_id").alias("node"), (F.col("profile_id") - 1).alias("canonical")), ["event_id"], [F.col("seen_at"), F.col("event_id")])
+    return out.select("event_id", "profile_id", "data_version", "is_current", "sequence")
 
 
 # -- quality and insights ----------------------------------------------------------------------------------------------

@@ -156,7 +156,7 @@ def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s25_session_identity",
-    sql("""SELECT brand_id, visitor_id, session_seq, CASE WHEN count(DISTINCT b) = 1 THEN min(b) END AS brain_id, coalesce(string_agg(DISTINCT lane, ',' ORDER BY lane) FILTER (WHERE b IS NOT NULL), '') AS matched_via FROM
+    sql("""SELECT brand_id, visitor_id, session_seq, CASE WHEN count(DISTINCT b) = 1 THEN min(b) END AS profile_id, coalesce(string_agg(DISTINCT lane, ',' ORDER BY lane) FILTER (WHERE b IS NOT NULL), '') AS matched_via FROM
   (SELECT brand_id, visitor_id, session_seq, 'cookie' AS lane, CASE WHEN k % 4 = 0 THEN visitor_id END AS b FROM s UNION ALL SELECT brand_id, visitor_id, session_seq, 'email', CASE WHEN event_type = 'signup' THEN visitor_id // 2 * 2 END FROM s) GROUP BY 1, 2, 3"""),
 )
 def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def session_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = J.sessions(spark, sf_dir).select("brand_id", "visitor_id", "session_seq", F.inline(lanes))
     met = rows.groupBy("brand_id", "visitor_id", "session_seq").agg(F.min("b").alias("_lo"), F.max("b").alias("_hi"), F.array_sort(F.collect_set(F.when(F.col("b").isNotNull(), F.col("lane")))).alias("_l"))
-    return met.select("brand_id", "visitor_id", "session_seq", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("brain_id"), F.array_join("_l", ",").alias("matched_via"))
+    return met.select("brand_id", "visitor_id", "session_seq", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("profile_id"), F.array_join("_l", ",").alias("matched_via"))
 
 
 @query("s28_reference_code")

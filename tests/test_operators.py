@@ -103,9 +103,9 @@ def test_canonical_follows_chains_and_ends_on_cycles(spark):
 
 
 def test_resolver_never_guesses(spark):
-    links = spark.createDataFrame([("email", "e1", "p"), ("phone", "f1", "p"), ("phone", "f2", "q")], "identifier_type string, identifier_hash string, brain_id string")
+    links = spark.createDataFrame([("email", "e1", "p"), ("phone", "f1", "p"), ("phone", "f2", "q")], "identifier_type string, identifier_hash string, profile_id string")
     lanes = spark.createDataFrame([(1, "email", "e1"), (1, "phone", "f1"), (2, "email", "e1"), (2, "phone", "f2"), (3, "email", "zz")], "o int, identifier_type string, identifier_hash string")
-    got = {r["o"]: (r["brain_id"], r["candidates"]) for r in I.resolve_unique(lanes, links, ["o"]).collect()}
+    got = {r["o"]: (r["profile_id"], r["candidates"]) for r in I.resolve_unique(lanes, links, ["o"]).collect()}
     assert got == {1: ("p", 1), 2: (None, 2), 3: (None, 0)}
 
 
