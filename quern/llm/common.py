@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 cut = stored
 
 #: Rows of a lookup side up to which a join may broadcast it; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def lookup(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
