@@ -39,7 +39,7 @@ REPEATS = 8
 SAMPLED = 3
 BLOCK_WORDS = 1_000_000
 FIRST_BITS = 20
-PREFIX_BITS = 18
+PREFIX_BITS = 16
 SLICE_BYTES = 1 << 21
 
 _U = np.uint64
