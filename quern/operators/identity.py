@@ -8,25 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import deterministic_id, ladder
-from quern.session import stored
+from quern.session import stored, unsized
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node that a node is linked with.
 
-    Min-label propagation with label jumping; each round is cut, and ends when no label changes.
+    Contraction: each round every node is merged into the first node of its closed neighbourhood, until no
+    edge is left; then merges are followed back. "First" is by the nodes' own order and by a fresh random one
+    in turn. The first of these ends stars at once; the second takes a quarter of the nodes or more in
+    expectation, whatever the graph, so rounds are logarithmic. Every round takes the last node of each
+    component that still has edges, so the loop ends, and it ends only when labels are final.
     """
+    edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).select(F.col("a").alias("node"), "c"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("c").alias("was"), F.least("c", "near").alias("c"))
-        up = labels.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        step = stored(step.join(up, "c", "left").select("node", "was", F.least("c", F.coalesce("up", "c")).alias("c")))
-        labels = step.select("node", "c")
-        if not step.where(F.col("was") != F.col("c")).limit(1).count():
-            break
-    return labels.withColumnRenamed("c", "component")
+    merges: list[DataFrame] = []
+    while not merges or not both.isEmpty():
+        if len(merges) % 2:
+            at = lambda c, salt=len(merges): F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("n"))
+            first = F.least(F.min(at("b")), at("a"))["n"]
+        else:
+            first = F.least(F.min("b"), F.col("a"))
+        into = unsized(stored(both.groupBy("a").agg(first.alias("c")).select(F.col("a").alias("node"), "c")))
+        merges.append(into)
+        left, right = into.select(F.col("node").alias("a"), F.col("c").alias("ca")), into.select(F.col("node").alias("b"), F.col("c").alias("cb"))
+        open_ = both.join(left, "a").join(right, "b").where(F.col("ca") != F.col("cb"))
+        both = unsized(stored(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
+    labels = merges.pop()
+    while merges:
+        further = labels.select(F.col("node").alias("c"), F.col("c").alias("end"))
+        labels = unsized(stored(merges.pop().join(further, "c", "left").select("node", F.coalesce("end", "c").alias("c"))))
+    least = labels.groupBy("c").agg(F.min("node").alias("component"))
+    return labels.join(least, "c").select("node", "component")
 
 
 def canonical(aliases: DataFrame, rounds: int = 50) -> DataFrame:

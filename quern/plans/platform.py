@@ -227,6 +227,18 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.components(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 9 == 0).select(key.alias("a"), (key + 1).alias("b")).distinct())
 
 
+@query(
+    "i_components_all",
+    """WITH nd AS (SELECT o_custkey AS node FROM orders UNION SELECT o_custkey + 1 FROM orders), lk AS (SELECT DISTINCT o_custkey + 1 AS node FROM orders),
+  st AS (SELECT node, sum(CASE WHEN node IN (SELECT node FROM lk) THEN 0 ELSE 1 END) OVER (ORDER BY node) AS run FROM nd)
+  SELECT node, min(node) OVER (PARTITION BY run) AS component FROM st""",
+)
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``i_components`` over all orders: long chains, whose components SQL finds as runs of neighbouring keys."""
+    key = F.col("o_custkey")
+    return I.components(table(spark, sf_dir, "orders").select(key.alias("a"), (key + 1).alias("b")).distinct())
+
+
 @query(
     "s22_identity_alias",
     """WITH RECURSIVE al AS (SELECT DISTINCT o_custkey AS node, o_custkey // 2 AS target FROM orders WHERE o_custkey % 2 = 0 AND o_custkey > 0),

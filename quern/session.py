@@ -59,3 +59,13 @@ def stored(df: DataFrame) -> DataFrame:
         own = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", own))
     return df.checkpoint(eager=True)
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, which should be cut, without its size estimate, for tables that a loop joins again and again.
+
+    A cut keeps the estimate of the plan before it. A join's estimate is the product of its sides', so in a
+    loop its digits grow exponentially, and planning never ends. Spark measures the true sizes as it runs.
+    """
+    session, plan = df.sparkSession, df._jdf.queryExecution()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), session)
