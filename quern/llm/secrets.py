@@ -24,6 +24,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
+GUARD = r"[0-9=:]|AKIA|[a-f]{24}"
 
 # The patterns of the weak kinds.
 IDENT = r"""(?i:user_?name|user_?id|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
@@ -58,7 +59,9 @@ def _spans(text: Column, kind: str, pattern: str, keep: Column | None = None, va
 def parts(docs: DataFrame) -> DataFrame:
     """Per document: spans of the base kinds, and of the weak kinds that overlap none of them.
 
-    Documents without any digit, ``=`` or ``:`` can hold no finding and skip the patterns.
+    Documents that ``GUARD`` doesn't meet can hold no finding and skip the patterns: an assignment, an
+    identifier and an endpoint have ``=`` or ``:``, a hexadecimal run a digit or letters only, and an
+    unlabelled token is reported only beside an identifier.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast(f"array<{SPAN}>")
@@ -70,7 +73,7 @@ def parts(docs: DataFrame) -> DataFrame:
         )
     )
     weak = F.concat(_spans(text, "ident", IDENT), _spans(text, "endpoint", ENDPOINT), _spans(text, "blob", BLOB))
-    some = text.rlike(r"[0-9=:]|AKIA")
+    some = text.rlike(GUARD)
     got = docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("text")).select(
         "doc_id", "h", F.when(some, spans).otherwise(none).alias("base"), F.when(some, weak).otherwise(none).alias("loose")
     )
