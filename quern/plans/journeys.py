@@ -139,6 +139,18 @@ def journey_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.top_n(n, ["brand_id"], [F.desc("visitors"), F.asc("signature")], 50)
 
 
+@query(
+    "g36_journey_paths_whole",
+    sql(PATHS_SQL + """, sg AS (SELECT brand_id, array_to_string(path[1:12], ' > ') AS signature, count(*) AS visitors, count(*) FILTER (WHERE converted) AS conversions FROM cp GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY visitors DESC, signature) AS rank FROM sg) WHERE rank <= 50"""),
+)
+def journey_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G36 as in the reference: path signatures of up to twelve steps."""
+    p = paths(spark, sf_dir).withColumn("path", F.slice(S.collapse(F.col("path")), 1, 12))
+    n = p.groupBy("brand_id", F.array_join("path", " > ").alias("signature")).agg(F.count("*").alias("visitors"), F.count_if(F.col("converted")).alias("conversions"))
+    return M.top_n(n, ["brand_id"], [F.desc("visitors"), F.asc("signature")], 50)
+
+
 @query(
     "q_journey_edges",
     sql(PATHS_SQL + """, ed AS (SELECT brand_id, i AS step, path[i] AS from_channel, path[i + 1] AS to_channel FROM (SELECT *, unnest(range(1, least(len(path), 12))) AS i FROM cp))

@@ -173,6 +173,22 @@ def product_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.affinity(rows, ["brand_id"], "order_id", "item", 10)
 
 
+@query(
+    "g21_product_affinity_whole",
+    sql("""
+, it AS (SELECT DISTINCT brand_id, order_id, product_id AS item FROM lo),
+n1 AS (SELECT brand_id, item, count(*) AS n FROM it GROUP BY 1, 2), nb AS (SELECT brand_id, count(DISTINCT order_id) AS baskets FROM it GROUP BY 1),
+pr AS (SELECT a.brand_id, a.item AS item_a, b.item AS item_b, count(*) AS together FROM it a JOIN it b ON a.order_id = b.order_id AND a.item < b.item GROUP BY 1, 2, 3),
+rk AS (SELECT pr.*, x.n AS n_a, y.n AS n_b, baskets, round(together * 100.0::DOUBLE / baskets, 4) AS support_pct, row_number() OVER (PARTITION BY pr.brand_id, item_a ORDER BY together DESC, item_b) AS rank
+  FROM pr JOIN n1 x ON x.brand_id = pr.brand_id AND x.item = item_a JOIN n1 y ON y.brand_id = pr.brand_id AND y.item = item_b JOIN nb ON nb.brand_id = pr.brand_id)
+SELECT * FROM rk WHERE rank <= 50"""),
+)
+def product_affinity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G21 as in the reference: the products themselves, fifty partners of each."""
+    rows = order_lines(spark, sf_dir).select("brand_id", "order_id", F.col("product_id").alias("item"))
+    return M.affinity(rows, ["brand_id"], "order_id", "item", 50)
+
+
 @query("q_top_products", sql("SELECT product_id, CAST(sum(gross_minor - discount_minor) AS BIGINT) AS net_minor, count(*) AS n FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
 def top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 products of the greatest net value."""
