@@ -6,15 +6,16 @@ reported only where complementary parts fall into one scope. Parts are interval-
 scopes: stretches of text of ``2 * reach`` code points, one begun every ``reach``, so that two
 parts that begin within ``reach`` of each other always share a scope, and no pairs of parts are made.
 
-Defined results: a null text is an empty text; rows that repeat doc_id and text are each
-returned; an empty table gives an empty table; other columns of the input are ignored.
+Defined results: a null text is an empty text; texts are read whole, and work grows in proportion to
+their matches; spans that begin together stand in the order of the kinds; rows that repeat doc_id and
+text are each returned; an empty table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut
@@ -33,31 +34,58 @@ BLOB = r"[A-Za-z0-9+/_-]{32,}={0,2}"
 WEAK = ("ident", "endpoint", "blob")
 ROLE = {"assign": "secret", "hex": "secret", "blob": "secret", "access": "id", "ident": "id", "endpoint": "endpoint"}
 SPAN = "struct<start:bigint,ord:int,kind:string,end:bigint>"
+RUN = 256
 
 
-def _spans(text: Column, kind: str, pattern: str, keep: Column | None = None, value_group: int | None = None, least: int = 0) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, from the lengths of the matches and of what lies between."""
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sizes(text: Column, pattern: str, value_group: int | None, least: int) -> Column:
+    """Per match: code points since the match before, code points of the match, whether it is kept."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), value.alias("value"))
+    whole = F.filter(rows, lambda x: x["hit"].isNotNull())  # there is one gap more than there are matches
+    return F.transform(
+        whole, lambda x: F.struct(F.char_length(x["gap"]).cast("bigint").alias("gap"), F.char_length(x["hit"]).alias("hit"), (F.char_length(x["value"]) >= least).alias("good"))
+    )
+
+
+def _spans(text: Column, kind: str, pattern: str, value_group: int | None = None, least: int = 0) -> Column:
+    """Spans of a pattern's leftmost non-overlapping matches, from the lengths of the matches and of what lies between.
+
+    Appending to an array copies it, so sums run over runs of ``RUN`` matches first and then within each run.
+    """
     order = (BASE + WEAK).index(kind)
-    pat = F.lit(pattern)
-    found = F.regexp_extract_all(text, pat, F.lit(0))
-    value = F.regexp_extract_all(text, pat, F.lit(value_group)) if value_group else found
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+    place = lambda at, out: F.struct(at.cast("bigint").alias("at"), out.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
+        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"]
         span = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end.alias("end")).cast(SPAN)
-        good = F.char_length(x["value"]) >= least
-        return F.struct(end.cast("bigint").alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return place(end, F.when(x["good"], F.array_append(acc["out"], span)).otherwise(acc["out"]))
+
+    def in_runs(sizes: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int"))
+        return F.transform(numbers, lambda i: F.slice(sizes, i * RUN + 1, F.lit(RUN)))
+
+    def starts(runs: Column) -> Column:
+        total = lambda run: F.aggregate(run, F.lit(0).cast("bigint"), lambda a, x: a + x["gap"] + x["hit"])
+        zero = place(F.lit(0), F.array().cast("array<bigint>"))
+        return F.aggregate(runs, zero, lambda acc, run: place(acc["at"] + total(run), F.array_append(acc["out"], acc["at"])), lambda acc: acc["out"])
+
+    def spans(runs: Column) -> Column:
+        each = F.arrays_zip(runs.alias("run"), starts(runs).alias("start"))
+        return F.flatten(F.transform(each, lambda r: F.aggregate(r["run"], place(r["start"], none), step, lambda acc: acc["out"])))
 
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    spans = F.aggregate(rows, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    found = _let(_sizes(text, pattern, value_group, least), lambda sizes: _let(in_runs(sizes), spans))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """Per document: spans of the base kinds, and of the weak kinds that overlap none of them.
+    """Per document: spans of the base kinds, and of the weak kinds.
 
     Documents that ``GUARD`` doesn't meet can hold no finding and skip the patterns: an assignment, an
     identifier and an endpoint have ``=`` or ``:``, a hexadecimal run a digit or letters only, and an
@@ -74,11 +102,20 @@ def parts(docs: DataFrame) -> DataFrame:
     )
     weak = F.concat(_spans(text, "ident", IDENT), _spans(text, "endpoint", ENDPOINT), _spans(text, "blob", BLOB))
     some = text.rlike(GUARD)
-    got = docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("text")).select(
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("text")).select(
         "doc_id", "h", F.when(some, spans).otherwise(none).alias("base"), F.when(some, weak).otherwise(none).alias("loose")
     )
-    free = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return got.withColumn("loose", F.filter("loose", free))
+
+
+def _free(flat: DataFrame) -> DataFrame:
+    """Base spans, and those weak spans that overlap none of their document's base spans."""
+    up = Window.partitionBy("doc_id", "h").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("doc_id", "h").orderBy(F.desc("start"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("ord") < len(BASE)
+    clear = (F.coalesce(F.max(F.when(base, F.col("end"))).over(up), F.lit(-1)) <= F.col("start")) & (
+        F.coalesce(F.min(F.when(base, F.col("start"))).over(down), F.col("end")) >= F.col("end")
+    )
+    return flat.withColumn("_clear", base | clear).where("_clear").drop("_clear")
 
 
 def link(found: DataFrame, reach: int = 200) -> DataFrame:
@@ -93,6 +130,7 @@ def link(found: DataFrame, reach: int = 200) -> DataFrame:
         .select("doc_id", "h", "s.*")
         .distinct()
     )
+    flat = _free(flat)
     role = reduce(lambda c, kv: c.when(F.col("kind") == kv[0], kv[1]), ROLE.items(), F.when(F.lit(False), ""))
     bucket = F.floor(F.col("start") / reach)
     flat = flat.withColumn("role", role).withColumn("bucket", bucket)
