@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.session import ship, stored, table
@@ -26,21 +26,33 @@ def lookup(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str = "l
     return df.join(F.broadcast(side) if few else side, on, how)
 
 
-def global_rank(df: DataFrame, keys: list[Column], rank: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, keys: list[Column], rank: str = "rank", weight: str | None = None) -> DataFrame:
     """Add the 0-based rank of each row in the order of ``keys`` without a one-task sort.
 
     Rows are dealt by range and sorted within partitions; a row's rank is its place in its
-    partition plus the rows of the partitions before it. ``df`` should be cut, and ``keys``
-    should tell rows apart, so that a recomputed task gives the same order.
+    partition plus the rows of the partitions before it. With ``weight``, the rank is the sum of that
+    column over the rows before. ``df`` should be cut, and ``keys`` should tell rows apart, so that
+    a recomputed task gives the same order.
     """
-    ordered = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, offsets = 0, []
-    for row in ordered.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row a partition
-        offsets.append((row["p"], before))
-        before += row["count"]
-    side = df.sparkSession.createDataFrame(offsets, "_p long, _before long")
-    return ordered.join(F.broadcast(side), part == F.col("_p")).withColumn(rank, F.col("_before") + place).drop("_at", "_p", "_before")
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    ordered = cut(ordered.withColumn("_p", F.shiftright("_at", 33)))
+    sums = ordered.groupBy("_p").agg(F.count("*") if weight is None else F.sum(weight).cast("bigint")).toDF("_p", "_n")
+    by_part = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = F.broadcast(sums.select("_p", F.coalesce(F.sum("_n").over(by_part), F.lit(0)).alias("_before")))
+    if weight is None:
+        place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    else:
+        in_part = Window.partitionBy("_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        place = F.coalesce(F.sum(weight).over(in_part), F.lit(0))
+    return ordered.withColumn(rank, place).join(before, "_p").withColumn(rank, F.col(rank) + F.col("_before")).drop("_at", "_p", "_before")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores behind it where columns of that name (in any case) are there already."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def unit(key: Column) -> Column:
