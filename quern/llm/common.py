@@ -17,12 +17,13 @@ cut = stored
 BROADCAST_ROWS = 50_000
 
 
-def lookup(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``df`` with a lookup side that is broadcast only after its rows have been counted.
+def lookup(df: DataFrame, side: DataFrame, on: list[str] | Column, how: str = "left", limit: int = BROADCAST_ROWS, most: int | None = None) -> DataFrame:
+    """Join ``df`` with a lookup side that is broadcast only if it has ``limit`` rows at most.
 
-    ``side`` should be cut (or cheap), since the count is an action of its own.
+    Its rows are counted, unless ``most`` tells a bound that is known. ``side`` should be cut (or
+    cheap), since the count is an action of its own.
     """
-    few = side.limit(limit + 1).count() <= limit
+    few = (side.limit(limit + 1).count() if most is None else most) <= limit
     return df.join(F.broadcast(side) if few else side, on, how)
 
 
