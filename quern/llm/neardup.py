@@ -14,11 +14,12 @@
    a task, by products of their incidence matrices. A task gives only the links that join
    components, so pairs are neither listed nor moved, and no link between components is lost.
 4. A pair counts if the exact multiset overlap of its whole texts reaches the threshold. Components
-   follow by min-label propagation over verified links.
+   follow by contraction of verified links.
 
 Defined results: equal texts share a class; texts without words (null ones count as one text) are
-in a class by equality alone; rows that repeat are rows of their own with the same class; an
-empty table gives an empty table; further columns of the input are carried by ``keep_one`` and
+in a class by equality alone; texts are read whole, in slices, however long; a class is named by its
+smallest doc_id, and a null one is never smallest; rows that repeat are rows of their own with the
+same class; an empty table gives an empty table; further columns of the input are carried by ``keep_one`` and
 ignored by ``classes``.
 """
 
@@ -40,6 +41,7 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 BLOCK = 128
+HOT = 256
 
 _U = np.uint64
 
@@ -104,17 +106,15 @@ def _signed(k: int, bands: int, rows: int):
                 keys = np.zeros((n, bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * _U(0x9FB21C651E98DF25) + sig.reshape(n, bands, rows)[:, :, r] + salts)
-                low_bits = (sig & _U(0xFF)).astype(np.uint8).view(np.int8)
                 lists = lambda x, size, n=n: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, n),
                         h.slice(low, n),
                         pa.array(np.bincount(text, count, n).astype(np.int64)),
-                        lists(low_bits, m),
                         lists(keys.view(np.int64), bands),
                     ],
-                    names=["doc_id", "h", "weight", "sig", "bands"],
+                    names=["doc_id", "h", "weight", "bands"],
                 )
 
     return run
@@ -126,33 +126,38 @@ def digest_of(text: Column) -> Column:
 
 
 def signed_texts(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per different text: h, smallest doc_id, weight, signature bytes and band keys."""
+    """One row per different text: h, smallest doc_id, weight and the band keys of its signature."""
     python_workers(docs.sparkSession)
     rows_in = docs.select("doc_id", digest_of(F.col("text")).alias("h"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h binary, weight bigint, sig array<tinyint>, bands array<bigint>"
+    schema = f"doc_id {kind}, h binary, weight bigint, bands array<bigint>"
     signed = rows_in.mapInArrow(_signed(k, bands, rows), schema)
     firsts = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a text
-    return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), firsts("weight"), firsts("sig"), firsts("bands"))
+    return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), firsts("weight"), firsts("bands"))
 
 
-def _near(a: str, b: str, threshold: float, m: int) -> Column:
-    """What all pairs of the threshold meet: like weights, and a signature within five deviations of it."""
-    weights = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    least = m * threshold - 5 * np.sqrt(m * threshold * (1 - threshold))
-    agree = F.size(F.filter(F.zip_with(F.col(f"{a}.sig"), F.col(f"{b}.sig"), lambda x, y: x == y), lambda same: same))
-    return (F.least(*weights) >= threshold * F.greatest(*weights)) & (agree >= int(least))
+def _like(x: Column, y: Column, threshold: float) -> Column:
+    """Weights so alike that texts can reach the threshold."""
+    return F.least(x, y) >= threshold * F.greatest(x, y)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of digests whose texts overlap by ``threshold``; ``texts`` has h and text."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, hot: int = HOT) -> DataFrame:
+    """The pairs (a, b) of digests whose texts overlap by ``threshold``; ``texts`` has h and text.
+
+    A text that stands in more than ``hot`` pairs as ``b`` is dealt in as many copies as spread them over tasks.
+    """
 
     @F.pandas_udf("double")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(overlap(pa.array(x, pa.large_string()), pa.array(y, pa.large_string()), k))
 
+    heavy = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("_n")).where(F.col("_n") > 1))
+    n = F.coalesce(F.col("_n"), F.lit(1))
+    pairs = lookup(pairs, heavy, ["b"]).withColumn("_salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("_n")
     a, b = texts.select(F.col("h").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").withColumn("similarity", same("text_a", "text_b")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    b = lookup(b, heavy, ["b"]).select("b", "text_b", F.explode(F.sequence(F.lit(0), n - 1)).alias("_salt"))
+    both = pairs.join(a, "a").join(b, ["b", "_salt"])
+    return both.withColumn("similarity", same("text_a", "text_b")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,7 +243,6 @@ def _joining(rest: DataFrame, own, k: int, threshold: float, block: int = BLOCK)
 
 def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per different text: h, its smallest doc_id and ``comp``, the digest that names its class."""
-    m = bands * rows
     signed = cut(signed_texts(docs, k, bands, rows))
     full = signed.where(F.col("weight") > 0)
     texts = docs.select(F.col("doc_id").alias("_id"), digest_of(F.col("text")).alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
@@ -249,24 +253,24 @@ def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD,
         at = (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("doc_id"))
         return lookup(texts, ends, at, "inner").select("h", "text").dropDuplicates(["h"])
 
-    in_band = full.select("h", F.explode("bands").alias("band"))
-    first = in_band.groupBy("band").agg(F.min("h").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    in_band = full.select("h", "weight", F.explode("bands").alias("band"))
+    first = in_band.groupBy("band").agg(F.min(F.struct("h", "weight")).alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
+    first = first.select("band", F.col("b.h").alias("b"), F.col("b.weight").alias("_of_b"))
     member = cut(in_band.join(first, "band"))  # only buckets of several texts
-    figures = full.select("h", "weight", "sig")
-    x, y = figures.alias("x"), figures.alias("y")
-    pairs = member.where(F.col("h") != F.col("b")).select(F.col("h").alias("a"), "b").distinct()
-    pairs = pairs.join(x, F.col("a") == F.col("x.h")).join(y, F.col("b") == F.col("y.h")).where(_near("x", "y", threshold, m)).select("a", "b")
+    pairs = member.where((F.col("h") != F.col("b")) & _like(F.col("weight"), F.col("_of_b"), threshold)).select(F.col("h").alias("a"), "b").distinct()
     used = cut(pairs)
-    links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold))
-    comp = components(links)
+    links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold).select("a", "b"))
+    comp = cut(components(links))
     placed = cut(member.join(comp, "h", "left").select("band", "h", "b", F.coalesce("comp", "h").alias("comp")))
     torn = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("band")
     rest = cut(placed.join(torn, "band", "left_semi"))
     if rest.limit(1).count():
         more = _joining(rest, own, k, threshold)
         if more.limit(1).count():
-            links = links.select("a", "b").union(more)
-            comp = components(links)
+            # Links between components: their own components rename those found so far.
+            renamed = components(more).select(F.col("h").alias("comp"), F.col("comp").alias("_to"))
+            alone = more.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(comp, "h", "left_anti").select("h", F.col("h").alias("comp"))
+            comp = comp.unionByName(alone).join(renamed, "comp", "left").select("h", F.coalesce("_to", "comp").alias("comp"))
     return signed.select("h", "doc_id").join(comp, "h", "left").select("h", "doc_id", F.coalesce("comp", "h").alias("comp"))
 
 
