@@ -8,11 +8,12 @@ fitted by maximum likelihood with forward-backward over segments, and decoding i
 programme over boundaries and types together. What it finds and no base span overlaps is added, if
 its posterior is high.
 
-The field is fitted on a bounded sample of zones of this table (``sample_zones``, by hash), with the base
-spans as their labels, and on fixed variants: phones without country code, written-out marks in
+The field is fitted on a bounded sample of zones of this table (``sample_zones``, by a 64-bit hash), with the
+base spans as their labels, and on fixed variants: phones without country code, written-out marks in
 addresses, and numbers that are nothing.
 
-Defined results: a null text is an empty text; rows that repeat are scanned each; an empty table gives
+Defined results: a null text is an empty text; texts and zones are read whole, however long; of paths that
+score alike the first found stands; base spans of different kinds may overlap and all stay; rows that repeat are scanned each; an empty table gives
 an empty table; further columns are ignored; texts without a digit or an address mark have no spans.
 """
 
@@ -27,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import python_workers
+from quern.llm.common import python_workers, unit
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ZONES = 600
+FIT_CHARS = 400
 LONGEST = 24
 POSTERIOR = 0.9
 
@@ -315,17 +317,21 @@ def all_spans(text: str, weights: dict, posterior: float = POSTERIOR) -> tuple[l
 
 
 def train(docs: DataFrame, sample_zones: int = SAMPLE_ZONES) -> dict:
-    """The field's weights. Zones are counted over all rows; a share of them, bounded in expectation, is sent."""
+    """The field's weights, from at most ``sample_zones`` zones of different shape.
+
+    Texts that may hold a zone are counted over all rows; as many as give that many zones, if each
+    has one, are drawn by a 64-bit hash. Zones longer than ``FIT_CHARS`` aren't fitted on.
+    """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [text[max(0, s - 24) : s + 200] for text in batch["text"] for s, e in zones(text)]
+            got = [text[max(0, s - 24) : e + 20] for text in batch["text"] for s, e in zones(text) if e - s <= FIT_CHARS]
             yield pd.DataFrame({"zone": got}, dtype=object)
 
-    some = docs.where(F.col("text").rlike("[0-9]{2}|@|[(]at[)]|[\\[]at\\]")).select("doc_id", "text")
-    total = some.count()
-    u = F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1_000_000))
-    part = some.where(u < int(1_000_000 * min(1.0, sample_zones / max(1, total)))).select("text")
+    may = F.col("text").rlike("[0-9]{2}|@|[(]at[)]|[\\[]at\\]")
+    total = docs.where(may).count()
+    u = unit(F.xxhash64(F.lit(9), "doc_id", "text"))
+    part = docs.where((u < min(1.0, sample_zones / max(1, total))) & may).select("text")  # the hash first: it spares the pattern
     got = part.mapInPandas(found, "zone string").groupBy(F.regexp_replace("zone", "[0-9]", "0").alias("shape")).agg(F.min("zone").alias("zone"))
     texts = sorted(r["zone"] for r in got.orderBy(F.xxhash64("shape")).limit(sample_zones).collect())
     return fit(variants(texts))
