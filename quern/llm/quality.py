@@ -2,14 +2,17 @@
 
 1. A logistic classifier over surface figures of whole texts (case, symbols, word lengths, repeated
    words and word runs) gives each document's own evidence. It is fitted on labelled rows, of
-   which a bounded sample (``sample_rows``, by hash of doc_id) is taken.
+   which a bounded sample (``sample_rows`` labelled doc_ids, by a 64-bit hash, and twice as many rows
+   at most) is taken.
 2. Grouped aggregates over all documents sum that evidence by path (source and language) and by
    host (source). Host rates shrink towards the global rate, path rates towards their host's;
    how strongly follows from the spread between hosts and between paths (method of moments), so
    sparse sites say little.
-3. A document's odds are its classifier odds times the path's prior odds over the global prior odds.
+3. A document's odds are its classifier odds times the path's prior odds over the global prior odds. Its own
+   evidence is left out of the path's sums that it meets, so that it counts once.
 
-Defined results: a null text is an empty text; null sources and languages are groups of their own;
+Defined results: a null text is an empty text; texts are read whole, however long; a score of just the
+threshold is kept; null sources and languages are groups of their own;
 rows that repeat are scored each; a doc_id that labels repeat has the mean of its labels; where
 labels hold no two classes, nothing is known against any document and all are kept; an empty
 table gives an empty table; further columns are carried by ``keep_good`` and ignored by ``scores``.
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytetext import shingles, slices, words
-from quern.llm.common import cut, lookup, python_workers
+from quern.llm.common import cut, lookup, python_workers, unit
 
 SAMPLE_ROWS = 20_000
 
@@ -125,16 +128,16 @@ def classifier(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     if not total:
         return None
     if total > sample_rows:
-        u = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000))
-        known = known.where(u < int(1_000_000 * sample_rows / total))
+        known = known.where(unit(F.xxhash64(F.lit(5), "doc_id")) < sample_rows / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = figures(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["u", "y", "x"])
 
-    rows = lookup(docs.select("doc_id", "text"), cut(known), ["doc_id"], "inner").select("y", "text")
-    got = rows.mapInArrow(run, "y double, x array<double>").toPandas()
+    rows = lookup(docs.select("doc_id", "text"), cut(known), ["doc_id"], "inner").select(F.xxhash64("doc_id", "text").alias("u"), "y", "text")
+    # A doc_id may stand in many rows, so what comes to the driver is bounded by rows too.
+    got = rows.mapInArrow(run, "u bigint, y double, x array<double>").orderBy("u", "y").limit(2 * sample_rows).toPandas()
     if got.empty or got["y"].round().nunique() < 2:
         return None
     w, b = _fit(np.stack(got["x"].to_numpy()), got["y"].to_numpy())
@@ -191,6 +194,9 @@ def site_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
         F.col("source").alias("_source"),
         F.col("lang").alias("_lang"),
         "host_rate",
+        F.col("n").alias("_n"),
+        F.col("s").alias("_s"),
+        F.lit(k_path).alias("_k"),
         ((k_path * F.col("host_rate") + F.col("s")) / (k_path + F.col("n"))).alias("path_rate"),
     )
     return cut(rates), rate
@@ -198,8 +204,10 @@ def site_rates(evidence: DataFrame) -> tuple[DataFrame, float]:
 
 def _combined(rows: DataFrame, rates: DataFrame, rate: float) -> DataFrame:
     same = F.col("source").eqNullSafe(F.col("_source")) & F.col("lang").eqNullSafe(F.col("_lang"))
+    others = (F.col("_k") * F.col("host_rate") + F.col("_s") - _logistic(F.col("_odds"))) / (F.col("_k") + F.col("_n") - 1)
     odds = F.col("_odds") + _logit(F.col("path_rate")) - _logit(F.lit(rate))
-    return lookup(rows, rates, same, "inner").drop("_source", "_lang").withColumn("score", _logistic(odds))
+    joined = lookup(rows, rates, same, "inner").withColumn("path_rate", others)
+    return joined.withColumn("score", _logistic(odds)).drop("_source", "_lang", "_n", "_s", "_k")
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
