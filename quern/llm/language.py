@@ -2,13 +2,14 @@
 
 The kernel of two texts is the number of n-grams (1 to ``spectrum`` UTF-8 bytes of lower-cased
 letters, all else one space) that occur in both, over the root of what each has: k(s,t) / sqrt(k(s,s)
-k(t,t)). A bounded sample of each language (``quota`` texts, by hash of doc_id) trains the model, some of
-them as landmarks. With K the landmarks' kernel matrix, texts map to rows of K^-1/2, in which
+k(t,t)). A bounded sample of each language (``quota`` texts, by a 64-bit hash of doc_id and text, and
+``MOST_ROWS`` of all together) trains the model, some of them as landmarks. With K the landmarks' kernel matrix, texts map to rows of K^-1/2, in which
 one-versus-rest kernel ridge regression is a linear solve. Scores of a batch are the product of
 its presence matrix (sparse) with the landmarks' matrix and the regression's, multiplied beforehand.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0; rows that repeat
-are predicted each; without training rows all texts are ``und``; an empty table gives an empty
+are predicted each; texts are read whole, however long; of languages that score alike the first by name
+is given; without training rows all texts are ``und``; an empty table gives an empty
 table; further columns are ignored.
 """
 
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytetext import slices
-from quern.llm.common import lookup, python_workers, unit
+from quern.llm.common import cut, lookup, python_workers, unit
 
 QUOTA = 500
 LANDMARKS = 60
 SPECTRUM = 3
+MOST_ROWS = 20_000
+RIDGE = 1e-3
 
 _U = np.uint64
 _SPACE = 32
@@ -70,14 +73,13 @@ def _gather(matrix: np.ndarray, text: np.ndarray, column: np.ndarray, n: int) ->
     return out
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, spectrum: int = SPECTRUM, ridge: float = 1e-3):
-    """(languages, sorted n-gram codes, n-grams by languages matrix), or None without rows."""
+def fit(grams_of: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    """(languages, sorted n-gram codes, n-grams by languages matrix) from the n-gram codes of each text, or None without rows."""
     names = sorted(set(langs))
     if not names:
         return None
     y = np.array([names.index(x) for x in langs])
-    parts = [(t + low, c) for low, _, t, c in presence(pa.array(texts, pa.large_string()), spectrum)]
-    text, code = np.concatenate([t for t, _ in parts]), np.concatenate([c for _, c in parts])
+    text, code = np.repeat(np.arange(len(y)), [len(g) for g in grams_of]), np.concatenate(grams_of).astype(np.uint64)
     own = np.maximum(np.bincount(text, minlength=len(y)), 1)
     chosen = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(names))])
     place = np.full(len(y), -1)
@@ -132,14 +134,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, quota: int = QUOTA, landmarks: int = LANDMARKS):
-    """The model of the rows that aren't held out; languages are counted over all rows, then sampled."""
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their n-gram codes."""
+    for batch in batches:
+        for low, high, text, code in presence(batch.column("text"), SPECTRUM):
+            ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=high - low))))
+            grams = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code.astype(np.int64)))
+            n = high - low
+            yield pa.RecordBatch.from_arrays([batch.column("u").slice(low, n), batch.column("lang").slice(low, n), grams], names=["u", "lang", "grams"])
+
+
+def train(docs: DataFrame, quota: int = QUOTA, landmarks: int = LANDMARKS, most: int = MOST_ROWS):
+    """The model of the rows that aren't held out; languages are counted over all rows, then sampled.
+
+    A language has ``quota`` rows in expectation, and all together at most ``most``. Texts come to the driver as sets of n-gram codes.
+    """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    share = rows.groupBy("lang").agg((F.lit(float(quota)) / F.count("*")).alias("share"))
-    place = unit(F.xxhash64(F.lit(3), "doc_id"))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("_n")))
+    each = min(quota, most / max(1, counts.count()))
+    share = counts.select("lang", (F.lit(float(each)) / F.col("_n")).alias("share"))
+    place = unit(F.xxhash64(F.lit(3), "doc_id", "text"))
     picked = lookup(rows.select("lang", "text", place.alias("u")), share, ["lang"], "inner").where(F.col("u") < F.col("share"))
-    got = picked.select("lang", "text", "u").toPandas().sort_values(["u", "lang", "text"])
-    return fit(got["text"].tolist(), got["lang"].tolist(), landmarks)
+    coded = picked.select("u", "lang", "text").mapInArrow(_coded, "u double, lang string, grams array<bigint>")
+    got = coded.orderBy("u", "lang").limit(most).toPandas()
+    return fit([np.asarray(g, np.int64) for g in got["grams"]], got["lang"].tolist(), landmarks)
 
 
 def predict(docs: DataFrame, quota: int = QUOTA, landmarks: int = LANDMARKS) -> DataFrame:
