@@ -193,7 +193,7 @@ def test_language_of_odd_rows(docs_of, documents):
 
 
 def pii_base(t: str) -> list[tuple[int, int, int]]:
-    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)] if "@" in t else []
     out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         digits = re.sub("[ -]", "", m.group())
