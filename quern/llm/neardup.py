@@ -106,15 +106,17 @@ def _signed(k: int, bands: int, rows: int):
                 keys = np.zeros((n, bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * _U(0x9FB21C651E98DF25) + sig.reshape(n, bands, rows)[:, :, r] + salts)
+                low_bits = (sig & _U(0xFF)).astype(np.uint8).view(np.int8)
                 lists = lambda x, size, n=n: pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, n),
                         h.slice(low, n),
                         pa.array(np.bincount(text, count, n).astype(np.int64)),
+                        lists(low_bits, m),
                         lists(keys.view(np.int64), bands),
                     ],
-                    names=["doc_id", "h", "weight", "bands"],
+                    names=["doc_id", "h", "weight", "sig", "bands"],
                 )
 
     return run
@@ -126,38 +128,51 @@ def digest_of(text: Column) -> Column:
 
 
 def signed_texts(docs: DataFrame, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per different text: h, smallest doc_id, weight and the band keys of its signature."""
+    """One row per different text: h, smallest doc_id, weight, signature bytes and band keys."""
     python_workers(docs.sparkSession)
     rows_in = docs.select("doc_id", digest_of(F.col("text")).alias("h"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, h binary, weight bigint, bands array<bigint>"
+    schema = f"doc_id {kind}, h binary, weight bigint, sig array<tinyint>, bands array<bigint>"
     signed = rows_in.mapInArrow(_signed(k, bands, rows), schema)
     firsts = lambda c: F.first(c).alias(c)  # noqa: E731  the same for all rows of a text
-    return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), firsts("weight"), firsts("bands"))
+    return signed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), firsts("weight"), firsts("sig"), firsts("bands"))
 
 
-def _like(x: Column, y: Column, threshold: float) -> Column:
-    """Weights so alike that texts can reach the threshold."""
-    return F.least(x, y) >= threshold * F.greatest(x, y)
+def _near(threshold: float, m: int) -> Column:
+    """Like weights, and a signature within five deviations of the threshold: what is worth comparing first.
 
+    Pairs passed over here stay in their buckets, and where those are torn they are compared exactly.
+    """
+    weights = F.col("weight_a"), F.col("weight_b")
+    least = m * threshold - 5 * np.sqrt(m * threshold * (1 - threshold))
+    agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    return (F.least(*weights) >= threshold * F.greatest(*weights)) & (agree >= int(least))
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, hot: int = HOT) -> DataFrame:
-    """The pairs (a, b) of digests whose texts overlap by ``threshold``; ``texts`` has h and text.
 
-    A text that stands in more than ``hot`` pairs as ``b`` is dealt in as many copies as spread them over tasks.
+def _with_ends(pairs: DataFrame, of: DataFrame, hot: int = HOT) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``of`` (by h) for either end, as x_a and x_b.
+
+    A text that is ``b`` in more than ``hot`` pairs is dealt in as many copies as spread them over tasks.
     """
+    names = [c for c in of.columns if c != "h"]
+    heavy = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("_n")).where(F.col("_n") > 1))
+    n = F.coalesce(F.col("_n"), F.lit(1))
+    pairs = lookup(pairs, heavy, ["b"]).withColumn("_salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("_n")
+    a = of.select(F.col("h").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
+    b = of.select(F.col("h").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
+    b = lookup(b, heavy, ["b"]).withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return pairs.join(a, "a").join(b, ["b", "_salt"]).drop("_salt")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, hot: int = HOT) -> DataFrame:
+    """The pairs (a, b) of digests whose texts overlap by ``threshold``; ``texts`` has h and text."""
 
     @F.pandas_udf("double")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(overlap(pa.array(x, pa.large_string()), pa.array(y, pa.large_string()), k))
 
-    heavy = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("_n")).where(F.col("_n") > 1))
-    n = F.coalesce(F.col("_n"), F.lit(1))
-    pairs = lookup(pairs, heavy, ["b"]).withColumn("_salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("_n")
-    a, b = texts.select(F.col("h").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    b = lookup(b, heavy, ["b"]).select("b", "text_b", F.explode(F.sequence(F.lit(0), n - 1)).alias("_salt"))
-    both = pairs.join(a, "a").join(b, ["b", "_salt"])
-    return both.withColumn("similarity", same("text_a", "text_b")).where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
+    both = _with_ends(pairs, texts, hot).withColumn("similarity", same("text_a", "text_b"))
+    return both.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,12 +268,11 @@ def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD,
         at = (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("doc_id"))
         return lookup(texts, ends, at, "inner").select("h", "text").dropDuplicates(["h"])
 
-    in_band = full.select("h", "weight", F.explode("bands").alias("band"))
-    first = in_band.groupBy("band").agg(F.min(F.struct("h", "weight")).alias("b"), F.count("*").alias("n")).where(F.col("n") > 1)
-    first = first.select("band", F.col("b.h").alias("b"), F.col("b.weight").alias("_of_b"))
+    in_band = full.select("h", F.explode("bands").alias("band"))
+    first = in_band.groupBy("band").agg(F.min("h").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     member = cut(in_band.join(first, "band"))  # only buckets of several texts
-    pairs = member.where((F.col("h") != F.col("b")) & _like(F.col("weight"), F.col("_of_b"), threshold)).select(F.col("h").alias("a"), "b").distinct()
-    used = cut(pairs)
+    pairs = cut(member.where(F.col("h") != F.col("b")).select(F.col("h").alias("a"), "b").distinct())
+    used = cut(_with_ends(pairs, full.select("h", "weight", "sig")).where(_near(threshold, bands * rows)).select("a", "b"))
     links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold).select("a", "b"))
     comp = cut(components(links))
     placed = cut(member.join(comp, "h", "left").select("band", "h", "b", F.coalesce("comp", "h").alias("comp")))
