@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalars import deterministic_id, ladder
-from quern.session import stored, unsized
+from quern.session import ship, stored, unsized
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Links, both ways, up to which what is left of a graph is settled in one task.
+FEW_LINKS = 100_000
+
+
+def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node that a node is linked with.
 
-    Contraction: each round every node is merged into the first node of its closed neighbourhood, until no
-    edge is left; then merges are followed back. "First" is by the nodes' own order and by a fresh random one
-    in turn. The first of these ends stars at once; the second takes a quarter of the nodes or more in
-    expectation, whatever the graph, so rounds are logarithmic. Every round takes the last node of each
-    component that still has edges, so the loop ends, and it ends only when labels are final.
+    Contraction: each round every node is merged into the first node of its closed neighbourhood, until at most
+    ``few`` links are left, which one task settles; then merges are followed back. "First" is by the nodes' own
+    order and by a fresh random one in turn. The first of these ends stars at once; the second takes a quarter
+    of the nodes or more in expectation, whatever the graph, so rounds are logarithmic, and labels are final.
     """
+    ship(edges.sparkSession)
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = unsized(stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
     merges: list[DataFrame] = []
-    while not merges or not both.isEmpty():
+    while both.count() > few:
         if len(merges) % 2:
             at = lambda c, salt=len(merges): F.struct(F.xxhash64(F.lit(salt), c).alias("h"), F.col(c).alias("n"))
             first = F.least(F.min(at("b")), at("a"))["n"]
@@ -34,29 +40,55 @@ def components(edges: DataFrame) -> DataFrame:
         left, right = into.select(F.col("node").alias("a"), F.col("c").alias("ca")), into.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         open_ = both.join(left, "a").join(right, "b").where(F.col("ca") != F.col("cb"))
         both = unsized(stored(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
-    labels = merges.pop()
+    kind = both.schema["a"].dataType.simpleString()
+    labels = both.coalesce(1).mapInPandas(_settled, f"node {kind}, c {kind}")
     while merges:
-        further = labels.select(F.col("node").alias("c"), F.col("c").alias("end"))
-        labels = unsized(stored(merges.pop().join(further, "c", "left").select("node", F.coalesce("end", "c").alias("c"))))
+        further = unsized(stored(labels)).select(F.col("node").alias("c"), F.col("c").alias("end"))
+        labels = merges.pop().join(further, "c", "left").select("node", F.coalesce("end", "c").alias("c"))
+    labels = unsized(stored(labels))
     least = labels.groupBy("c").agg(F.min("node").alias("component"))
     return labels.join(least, "c").select("node", "component")
 
 
-def canonical(aliases: DataFrame, rounds: int = 50) -> DataFrame:
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every node of all links with the root of its tree, by union-find."""
+    up: dict = {}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype=object), "c": pd.Series([top(x) for x in nodes], dtype=object)})
+
+
+def canonical(aliases: DataFrame) -> DataFrame:
     """Follow (node, target) links to their end: (node, canonical).
 
-    Pointers double each round. Nodes on a cycle have no end; they get the smallest node they meet.
+    Pointers double each round, so a chain of any length ends after its logarithm of rounds. Once a pointer
+    has gone further than there are links, its chain has no end: such nodes are on a cycle, or lead to one,
+    and get the smallest node they meet.
     """
-    now = stored(aliases.select("node", F.col("target").alias("at"), F.least("node", "target").alias("least")))
-    for done in range(rounds):
+    now = unsized(stored(aliases.select("node", F.col("target").alias("at"), F.least("node", "target").alias("least"))))
+    links, done = now.count(), 0
+    while True:
         nxt = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("least").alias("further"))
         step = now.join(nxt, "at", "left").select(
             "node", "at", F.coalesce("next", "at").alias("new"), F.least("least", F.coalesce("further", "least")).alias("least"), F.col("next").isNotNull().alias("open")
         )
-        step = stored(step)
+        step = unsized(stored(step))
         moving = step.where(F.col("open")).limit(1).count()
         now = step.select("node", F.col("new").alias("at"), "least")
-        if not moving or done == 7:  # 2**8 links on, only cycles are still open
+        done += 1
+        if not moving or 1 << done > links:
             break
     ends = now.select(F.col("node").alias("at")).distinct().withColumn("_in", F.lit(True))
     return now.join(ends, "at", "left").select("node", F.when(F.col("_in"), F.col("least")).otherwise(F.col("at")).alias("canonical"))

@@ -18,6 +18,9 @@ def test_components_of_shuffled_paths(spark):
     edges = [*zip(long, long[1:]), *zip(short, short[1:]), (5000, 5000)]
     got = {r["node"]: r["component"] for r in I.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {n: min(long) for n in long} | {n: min(short) for n in short} | {5000: 5000}
+    star = [(0, i) for i in range(1, 300)] + [(i, 1000 + i) for i in range(1, 300)] + [(3000 + i, 3001 + i) for i in range(40)]
+    rounds = {r["node"]: r["component"] for r in I.components(spark.createDataFrame(star, "a int, b int"), few=4).collect()}
+    assert len(rounds) == 640 and all(c == (0 if n < 3000 else 3000) for n, c in rounds.items())
 
 
 def test_components_equal_union_find(spark):
