@@ -16,7 +16,7 @@ ONE = 100_000_000
 MODELS = ("first_touch", "last_touch", "linear", "position_based", "time_decay")
 
 
-def _raw(model: str, place: Column, n: Column, age_days: Column, half_life: int) -> Column:
+def _raw(model: str, place: Column, n: Column, half_life: int) -> Column:
     """Unscaled integer weight of the ``place``-th of ``n`` touches (from 1)."""
     first, last = place == 1, place == n
     if model == "first_touch":
@@ -28,15 +28,18 @@ def _raw(model: str, place: Column, n: Column, age_days: Column, half_life: int)
     if model == "position_based":  # 40/20/40; both halves for two; all for one
         inner = F.greatest(n - 2, F.lit(1))
         return F.when(n <= 2, 1).when(first | last, 2 * inner).otherwise(1)
-    halvings = F.call_function("div", age_days.cast("bigint"), F.lit(half_life).cast("bigint")).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.lit(0), 40 - halvings))
+    # 2^(-age / half-life) in units of 2^-60, where age is the number of touches that follow; exact for half-lives of 1.
+    return F.floor(F.pow(F.lit(2.0), 60 - (n - place) / half_life))
 
 
-def weights(touches: DataFrame, keys: list[str], seq: str, age_days: str, models: tuple[str, ...] = MODELS, half_life: int = 7) -> DataFrame:
-    """One row per touch and model with ``weight`` (units of 1e-8, exact sum per key and model)."""
+def weights(touches: DataFrame, keys: list[str], seq: str, models: tuple[str, ...] = MODELS, half_life: int = 1) -> DataFrame:
+    """One row per touch and model with ``weight`` (units of 1e-8, exact sum per key and model).
+
+    ``half_life`` counts touches: the last has age 0, the one before it age 1.
+    """
     group = Window.partitionBy(*keys)
     placed = touches.withColumn("_n", F.count("*").over(group)).withColumn("_p", F.row_number().over(group.orderBy(seq)))
-    raw = [F.struct(F.lit(m).alias("model"), _raw(m, F.col("_p"), F.col("_n"), F.col(age_days), half_life).cast("bigint").alias("_raw")) for m in models]
+    raw = [F.struct(F.lit(m).alias("model"), _raw(m, F.col("_p"), F.col("_n"), half_life).cast("bigint").alias("_raw")) for m in models]
     rows = placed.select(*touches.columns, "_n", "_p", F.inline(F.array(*raw))).withColumn("_one", F.lit(ONE).cast("bigint"))
     # Rests go to the first touch, then the last, then those between in order.
     order = F.when(F.col("_p") == 1, 0).when(F.col("_p") == F.col("_n"), 1).otherwise(F.col("_p"))

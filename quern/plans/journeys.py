@@ -261,24 +261,23 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Touches of visitors who purchased, up to the first purchase, with age in days and its amount."""
+    """Touches of visitors who purchased, up to the first purchase, with its amount."""
     rows = sessions(spark, sf_dir)
     w = Window.partitionBy(*VISITOR)
     bought = F.min(F.when(is_type("purchase"), F.struct("touch_seq", "seen_at", "value_minor"))).over(w)
     used = rows.withColumn("_b", bought).where(F.col("touch_seq") <= F.col("_b.touch_seq"))
-    age = F.date_diff(F.col("_b.seen_at"), F.col("seen_at")).alias("age_days")
-    return used.select(*VISITOR, "touch_seq", "event_id", "channel", age, F.col("_b.value_minor").alias("amount_minor"), F.col("_b.seen_at").alias("bought_at"))
+    return used.select(*VISITOR, "touch_seq", "event_id", "channel", F.col("_b.value_minor").alias("amount_minor"), F.col("_b.seen_at").alias("bought_at"))
 
 
 JOURNEY_SQL = """
 , fb AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN touch_seq END) OVER (PARTITION BY visitor_id) AS buy_seq FROM s),
-tj AS (SELECT f.*, b.value_minor AS amount_minor, b.seen_at AS bought_at, date_diff('day', CAST(f.seen_at AS DATE), CAST(b.seen_at AS DATE)) AS age_days, f.buy_seq AS n
+tj AS (SELECT f.*, b.value_minor AS amount_minor, b.seen_at AS bought_at, f.buy_seq AS n
   FROM fb f JOIN s b ON b.visitor_id = f.visitor_id AND b.touch_seq = f.buy_seq WHERE f.touch_seq <= f.buy_seq),
 mw AS (SELECT t.*, m.model, CASE m.model WHEN 'first_touch' THEN CAST(touch_seq = 1 AS BIGINT) WHEN 'last_touch' THEN CAST(touch_seq = n AS BIGINT) WHEN 'linear' THEN 1
     WHEN 'position_based' THEN CASE WHEN n <= 2 THEN 1 WHEN touch_seq IN (1, n) THEN 2 * (n - 2) ELSE 1 END
-    ELSE CAST(1 AS BIGINT) << CAST(greatest(0, 40 - age_days // 7) AS BIGINT) END AS raw
+    ELSE CASE WHEN n - touch_seq > 60 THEN 0 ELSE CAST(1 AS BIGINT) << CAST(60 - (n - touch_seq) AS BIGINT) END END AS raw
   FROM tj t CROSS JOIN (VALUES ('first_touch'), ('last_touch'), ('linear'), ('position_based'), ('time_decay')) AS m(model)),
-w1 AS (SELECT *, CAST(sum(raw) OVER (PARTITION BY visitor_id, model) AS HUGEINT) AS total, CAST(100000000 AS HUGEINT) * raw AS product FROM mw),
+w1 AS (SELECT *, sum(CAST(raw AS HUGEINT)) OVER (PARTITION BY visitor_id, model) AS total, CAST(100000000 AS HUGEINT) * raw AS product FROM mw),
 w2 AS (SELECT *, product // total AS part, product % total AS rest FROM w1),
 w3 AS (SELECT *, CAST(part AS BIGINT) + CASE WHEN row_number() OVER (PARTITION BY visitor_id, model ORDER BY rest DESC,
     CASE WHEN touch_seq = 1 THEN 0 WHEN touch_seq = n THEN 1 ELSE touch_seq END) <= 100000000 - sum(part) OVER (PARTITION BY visitor_id, model) THEN 1 ELSE 0 END AS weight FROM w2),
@@ -289,7 +288,7 @@ cr AS (SELECT *, CAST(CAST(sign(amount_minor) AS HUGEINT) * (cpart + CASE WHEN r
 
 
 def credited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.credits(A.weights(journeys(spark, sf_dir), VISITOR, "touch_seq", "age_days"), VISITOR, "amount_minor", "touch_seq")
+    return A.credits(A.weights(journeys(spark, sf_dir), VISITOR, "touch_seq"), VISITOR, "amount_minor", "touch_seq")
 
 
 @query(

@@ -66,20 +66,22 @@ def test_dated_lookup_is_half_open(spark):
 
 
 def test_weights_by_model(spark):
-    rows = [(1, i, 0) for i in (1, 2, 3, 4)] + [(2, 1, 0)] + [(3, 1, 14), (3, 2, 0)]
-    df = spark.createDataFrame(rows, "j int, seq int, age int")
+    rows = [(1, i) for i in (1, 2, 3, 4)] + [(2, 1)] + [(3, 1), (3, 2)] + [(4, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "j int, seq int")
     got = {}
-    for r in A.weights(df, ["j"], "seq", "age").orderBy("seq").collect():
+    for r in A.weights(df, ["j"], "seq").orderBy("seq").collect():
         got.setdefault((r["j"], r["model"]), []).append(r["weight"])
     assert got[1, "position_based"] == [40_000_000, 10_000_000, 10_000_000, 40_000_000]
     assert got[2, "linear"] == [100_000_000] and got[1, "last_touch"] == [0, 0, 0, 100_000_000]
-    assert got[3, "position_based"] == [50_000_000, 50_000_000] and got[3, "time_decay"] == [20_000_000, 80_000_000]
+    assert got[3, "position_based"] == [50_000_000, 50_000_000] and got[3, "time_decay"] == [33_333_333, 66_666_667]
+    assert got[1, "time_decay"] == [6_666_667, 13_333_333, 26_666_667, 53_333_333]  # ages 3, 2, 1, 0 in touches: 1, 2, 4, 8 of 15
+    assert got[4, "time_decay"][-3:] == [12_500_000, 25_000_000, 50_000_000]
     assert all(sum(w) == A.ONE for w in got.values())
 
 
 def test_credits_then_full_clawback_cancel_out(spark):
     df = spark.createDataFrame([(1, i, 0, 101) for i in (1, 2, 3)], "j int, seq int, age int, amount long")
-    credit = A.credits(A.weights(df, ["j"], "seq", "age"), ["j"], "amount", "seq")
+    credit = A.credits(A.weights(df, ["j"], "seq"), ["j"], "amount", "seq")
     back = A.clawbacks(credit, spark.createDataFrame([(1, 10**6)], "j int, refund_minor long"), ["j"], "seq")
     total = credit.select("j", "seq", "model", "credit_minor").union(back.select("j", "seq", "model", "credit_minor")).groupBy("model", "seq").agg(F.sum("credit_minor").alias("s"))
     assert {r["s"] for r in total.collect()} == {0}
@@ -102,6 +104,12 @@ def test_canonical_follows_chains_and_ends_on_cycles(spark):
     assert {r["node"]: r["canonical"] for r in I.canonical(links).collect()} == {"a": "c", "b": "c", "x": "x", "y": "x"}
 
 
+def test_canonical_of_long_chains_and_tails_of_cycles(spark):
+    rows = [(i, i + 1) for i in range(1000)] + [(5000 + i, 5000 + (i + 1) % 300) for i in range(300)] + [(6000 + i, 6001 + i) for i in range(20)] + [(6020, 5000)]
+    got = {r["node"]: r["canonical"] for r in I.canonical(spark.createDataFrame(rows, "node int, target int")).collect()}
+    assert all(got[i] == 1000 for i in range(1000)) and all(got[5000 + i] == 5000 for i in range(300)) and got[6000] == 5000
+
+
 def test_resolver_never_guesses(spark):
     links = spark.createDataFrame([("email", "e1", "p"), ("phone", "f1", "p"), ("phone", "f2", "q")], "identifier_type string, identifier_hash string, profile_id string")
     lanes = spark.createDataFrame([(1, "email", "e1"), (1, "phone", "f1"), (2, "email", "e1"), (2, "phone", "f2"), (3, "email", "zz")], "o int, identifier_type string, identifier_hash string")
