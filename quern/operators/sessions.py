@@ -15,7 +15,6 @@ def sessionize(events: DataFrame, keys: list[str], at: str, tie: str, gap_s: int
     A new session starts where the gap is greater than ``gap_s`` whole seconds.
     """
     w = Window.partitionBy(*keys).orderBy(at, tie)
-    back = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))
     gap = F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.lag(at).over(w).cast("timestamp"))
     starts = F.coalesce((gap > gap_s).cast("int"), F.lit(0))
     return (
@@ -23,7 +22,7 @@ def sessionize(events: DataFrame, keys: list[str], at: str, tie: str, gap_s: int
         .withColumn("session_seq", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)
         .withColumn("touch_seq", F.row_number().over(w))
         .withColumn("is_first_touch", F.col("touch_seq") == 1)
-        .withColumn("is_last_touch", F.row_number().over(back) == 1)
+        .withColumn("is_last_touch", F.lead(F.lit(True)).over(w).isNull())
         .drop("_s")
     )
 

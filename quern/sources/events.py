@@ -26,18 +26,25 @@ def read_log(spark: SparkSession, path: str, schema: StructType | None = None) -
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
-def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def or_empty(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """A stored table, or an empty one of the declared schema where none has been written yet."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+LIFTED = ", ".join(f"{f} string" for f in ENVELOPE) + ", consent_flags string, properties struct<consent_state string, install_token string>"
+
+
 def lift(raw: DataFrame, payload: str = "payload") -> DataFrame:
-    """Envelope fields as columns; ``pj`` keeps the JSON for fields that single jobs read."""
-    envelope = [field(payload, f).alias(f) for f in ENVELOPE]
-    consent = [field(payload, f"consent_flags.{c}").alias(f"consent_{c}") for c in ("analytics", "marketing")]
-    return raw.select(*envelope, *consent, field(payload, "consent_flags").alias("consent_flags"), prop(payload, "consent_state").alias("consent_state"), prop(payload, "install_token").alias("install_token"), F.col(payload).alias("pj"))
+    """Envelope fields as columns; ``pj`` keeps the JSON for fields that single jobs read.
+
+    A row is parsed once, by a declared schema. The generator keeps filters above the parse, where pushing them
+    below would repeat it.
+    """
+    rows = raw.select(F.col(payload).alias("pj"), F.inline(F.array(F.from_json(payload, LIFTED))))
+    consent = [field("consent_flags", c).alias(f"consent_{c}") for c in ("analytics", "marketing")]
+    return rows.select(*ENVELOPE, *consent, "consent_flags", "properties.consent_state", "properties.install_token", "pj")
 
 
 def admit(raw: DataFrame, tokens: DataFrame, server_names: tuple[str, ...], dropped_names: tuple[str, ...] = (), payload: str = "payload") -> DataFrame:
@@ -45,8 +52,8 @@ def admit(raw: DataFrame, tokens: DataFrame, server_names: tuple[str, ...], drop
 
     Events without id, tenant or time are dropped, and those of ``dropped_names``. Events that
     servers send keep the tenant that they claim. Pixel events need a consent object, must not be
-    denied, and their token must belong to the tenant that they claim (an inner join with the
-    small token table).
+    denied, and their token must belong to the tenant that they claim (a left join with the token
+    table, so both lanes are one pass).
     """
     rows = lift(raw, payload)
     rows = rows.where(F.col("event_id").isNotNull() & F.col("brand_id").isNotNull() & F.try_to_timestamp("occurred_at").isNotNull())
@@ -54,11 +61,11 @@ def admit(raw: DataFrame, tokens: DataFrame, server_names: tuple[str, ...], drop
     rows = rows.withColumn("occurred_at", F.try_to_timestamp("occurred_at")).withColumn("ingested_at", F.try_to_timestamp("ingested_at"))
     server = F.coalesce(F.col("event_name").isin(*server_names), F.lit(False))
     denied = identify_denied(F.col("event_name"), F.col("consent_state"), F.col("consent_analytics"))
-    pixel = rows.where(~server & F.col("consent_flags").isNotNull() & ~denied)
-    known = tokens.select("install_token", F.col("brand_id").alias("_derived"))
-    pixel = pixel.join(known, "install_token").where(F.col("_derived") == F.col("brand_id")).drop("_derived")
-    out = rows.where(server).withColumn("lane", F.lit("server")).unionByName(pixel.withColumn("lane", F.lit("pixel")))
-    return out.withColumn("category", event_category(F.col("event_name")))
+    known = tokens.select("install_token", "brand_id").distinct().withColumn("_known", F.lit(True))
+    pixel = F.col("consent_flags").isNotNull() & ~denied & F.coalesce(F.col("_known"), F.lit(False))
+    lane = F.when(server, "server").when(pixel, "pixel")
+    out = rows.join(known, ["install_token", "brand_id"], "left").withColumn("lane", lane).where(F.col("lane").isNotNull())
+    return out.select(*rows.columns, "lane").withColumn("category", event_category(F.col("event_name")))
 
 
 def scan(events: DataFrame, names: list[str], window: tuple = (None, None)) -> DataFrame:
