@@ -51,13 +51,15 @@ def ship(spark: SparkSession) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. A folder of our own is set only where
-    none is configured, which is the case in single-machine tests.
+    The folder is the session's ``spark.checkpoint.dir``. A folder of our own is set only where none is
+    configured and all runs on this machine, as in tests; a cluster without one is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "quern-checkpoints")
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", own))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quern-checkpoints"))
     return df.checkpoint(eager=True)
 
 
