@@ -8,8 +8,9 @@ a merged span is verified by the share of the template's pairs it holds and by i
 Templates are a constant of this module (a few hundred pairs), so broadcasting them is bounded.
 Every joined pair is compared word by word, so hash collisions never count.
 
-Defined results: a null text is an empty text; rows that repeat doc_id and text are each
-returned; an empty table gives an empty table; other columns of the input are ignored.
+Defined results: a null text is an empty text; texts are read whole, however long; of spans that cover their
+templates alike none is preferred, as labels are a set and the score is the largest share; rows that
+repeat doc_id and text are each returned; an empty table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ NOTICES = (
     ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-notice", "this work is licensed under a creative commons attribution international license"),
+    ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense-notice", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib-notice", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("epl-notice", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,11 +42,11 @@ N_PAIRS = [len(words.split()) - 1 for _, words in ALL]
 
 def templates(spark: SparkSession) -> DataFrame:
     """One row per template word pair, and one (template -1) that every text's start marker meets."""
-    rows = [(-1, 0, None, None)]
+    rows = ["(-1, 0, CAST(NULL AS STRING), CAST(NULL AS STRING))"]
     for tid, (_, words) in enumerate(ALL):
         w = words.split()
-        rows += [(tid, j, a, b) for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
-    df = spark.createDataFrame(rows, "tid int, tpos int, w1 string, w2 string")
+        rows += [f"({tid}, {j}, '{a}', '{b}')" for j, (a, b) in enumerate(zip(w, w[1:], strict=False))]
+    df = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(tid, tpos, w1, w2)")
     return df.withColumn("gram", F.when(F.col("tid") == -1, F.lit(0).cast("bigint")).otherwise(F.xxhash64("w1", "w2")))
 
 
