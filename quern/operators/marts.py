@@ -103,6 +103,6 @@ def affinity(lines: DataFrame, keys: list[str], basket: str, item: str, top: int
     )
     pairs = pairs.groupBy(*keys, "item_a", "item_b").agg(F.count("*").alias("together"))
     of = lambda x: single.select(*keys, F.col("item").alias(f"item_{x}"), F.col("n").alias(f"n_{x}"))
-    out = pairs.join(of("a"), [*keys, "item_a"]).join(of("b"), [*keys, "item_b"]).join(F.broadcast(total), keys)
+    out = pairs.join(of("a"), [*keys, "item_a"]).join(of("b"), [*keys, "item_b"]).join(total, keys)
     out = out.withColumn("support_pct", F.round(F.col("together") * 100.0 / F.col("baskets"), 4))
     return top_n(out, [*keys, "item_a"], [F.desc("together"), F.asc("item_b")], top)
