@@ -83,7 +83,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = np.flatnonzero(inside & ~(np.concatenate((inside[1:], [False])) & ~edge[1:])) + 1
     n = len(raw)
     size = 1 << max(10, int(n).bit_length())
-    up, down = _powers(_P, size), _powers(_P_INVERSE, size)
+    powers = _powers if size <= 2 * SLICE_BYTES else _powers.__wrapped__  # those of a very long text aren't kept
+    up, down = powers(_P, size), powers(_P_INVERSE, size)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[_LOWER[raw]] * up[:n], dtype=np.uint64)))
     hashes = mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
     return hashes, starts, ends, np.searchsorted(starts, offsets)
