@@ -61,7 +61,7 @@ def unit(key: Column) -> Column:
     return F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def python_workers(spark: SparkSession, size: str = "4m") -> None:
+def python_workers(spark: SparkSession, size: str = "2m") -> None:
     """Make the package known to Python workers and let Arrow batches hold ``size`` of rows at most.
 
     Long texts then don't add up in a worker.
