@@ -123,6 +123,14 @@ def health_band(recency: Column) -> Column:
     return ladder([(recency <= 90, "healthy"), (recency <= 180, "at_risk")], "churned")
 
 
+def churn_risk(recency: Column) -> Column:
+    return ladder([(recency > 180, "high"), (recency > 90, "medium")], "low")
+
+
+def churn_score(risk: Column) -> Column:
+    return F.when(risk == "low", 15).when(risk == "medium", 55).when(risk == "high", 85)
+
+
 def lifecycle_stage(band: Column, orders: Column) -> Column:
     new = F.coalesce(orders <= 1, F.lit(True))
     return F.when(band == "healthy", F.when(new, "new").otherwise("active")).when(band.isin("churned", "at_risk"), band)

@@ -182,6 +182,15 @@ def _score(value: Column, steps: list[int], down: bool) -> Column:
     return out
 
 
+def rfm_columns() -> list[Column]:
+    """Recency, frequency and monetary scores of rows with recency_days, orders and value_minor."""
+    return [
+        _score(F.col("recency_days"), [30, 60, 90, 180], True).alias("recency_score"),
+        _score(F.col("orders"), [2, 3, 5, 10], False).alias("frequency_score"),
+        _score(F.col("value_minor"), [100_000, 1_000_000, 5_000_000, 10_000_000], False).alias("monetary_score"),
+    ]
+
+
 @query(
     "g17_rfm_scores",
     sql("""SELECT brand_id, customer_id, CASE WHEN recency_days <= 30 THEN 5 WHEN recency_days <= 60 THEN 4 WHEN recency_days <= 90 THEN 3 WHEN recency_days <= 180 THEN 2 ELSE 1 END AS recency_score,
@@ -190,12 +199,7 @@ def _score(value: Column, steps: list[int], down: bool) -> Column:
 )
 def rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency and monetary scores from 1 to 5."""
-    return facts(spark, sf_dir).select(
-        *WHO,
-        _score(F.col("recency_days"), [30, 60, 90, 180], True).alias("recency_score"),
-        _score(F.col("orders"), [2, 3, 5, 10], False).alias("frequency_score"),
-        _score(F.col("value_minor"), [100_000, 1_000_000, 5_000_000, 10_000_000], False).alias("monetary_score"),
-    )
+    return facts(spark, sf_dir).select(*WHO, *rfm_columns())
 
 
 @query(

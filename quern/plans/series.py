@@ -1,15 +1,17 @@
-"""Series of orders, attributed amounts and campaigns without gaps, and the journey and spend views."""
+"""Series of orders, attributed amounts and campaigns without gaps, and the journey, spend and customer views."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import scalars as R
 from quern.operators.series import filled
+from quern.plans import customers as C
 from quern.plans import folds
 from quern.plans import journeys as J
 from quern.plans.catalogue import ORACLES, query
-from quern.plans.shop import orders, sql, touches
+from quern.plans.shop import AS_OF, orders, sql, touches
 
 
 def filled_sql(rows: str, keys: str, at: str, values: str, names: str, step: str = "1 DAY") -> str:
@@ -82,3 +84,36 @@ def measurement_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend as measured: facts summed by campaign and day."""
     whole = lambda c: F.sum(c).cast("bigint").alias(c)
     return folds.spend_facts(spark, sf_dir).groupBy("brand_id", "platform", "campaign_id", "stat_date").agg(F.count("*").alias("facts"), whole("spend_minor"), whole("impressions"), whole("clicks"))
+
+
+@query(
+    "v_customer_health",
+    f"""SELECT brand_id, customer_id, health_score, health_band, lifecycle_stage, recency_days, orders, value_minor FROM ({ORACLES["g17_customer_360"]}) WHERE recency_days IS NOT NULL""",
+)
+def customer_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Health of the customers that have a last order."""
+    profile = C.customer_360(spark, sf_dir).where(F.col("recency_days").isNotNull())
+    return profile.select(*C.WHO, "health_score", "health_band", "lifecycle_stage", "recency_days", "orders", "value_minor")
+
+
+@query(
+    "v_customer_scores",
+    f"""SELECT p.brand_id, p.customer_id, DATE '{AS_OF}' AS scored_on, p.orders AS lifetime_orders, p.value_minor AS lifetime_value_minor, p.recency_days AS days_since_last_order,
+  recency_score, frequency_score, monetary_score, risk AS churn_risk, CASE risk WHEN 'low' THEN 15 WHEN 'medium' THEN 55 ELSE 85 END AS churn_score, segment, 'live' AS data_source
+FROM (SELECT *, CASE WHEN recency_days > 180 THEN 'high' WHEN recency_days > 90 THEN 'medium' ELSE 'low' END AS risk FROM ({ORACLES["g17_customer_360"]})) p
+JOIN ({ORACLES["g17_rfm_scores"]}) r ON r.brand_id = p.brand_id AND r.customer_id = p.customer_id""",
+)
+def customer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, churn risk and segment of each customer, with the day they hold for; one pass over the customers' facts."""
+    recency = F.col("recency_days")
+    rows = C.facts(spark, sf_dir).select("*", *C.rfm_columns(), R.churn_risk(recency).alias("churn_risk"), R.lifecycle_segment(recency, F.col("orders"), F.col("value_minor")).alias("segment"))
+    return rows.select(
+        *C.WHO, F.lit(AS_OF).cast("date").alias("scored_on"), F.col("orders").alias("lifetime_orders"), F.col("value_minor").alias("lifetime_value_minor"), recency.alias("days_since_last_order"),
+        "recency_score", "frequency_score", "monetary_score", "churn_risk", R.churn_score(F.col("churn_risk")).alias("churn_score"), "segment", F.lit("live").alias("data_source"),
+    )
+
+
+@query("v_journey_events_current", f"""SELECT * FROM ({ORACLES["g37_journey_ledger"]}) WHERE is_current""")
+def journey_events_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the journey ledger that no later version has replaced."""
+    return folds.journey_ledger(spark, sf_dir).where("is_current")
