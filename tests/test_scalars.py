@@ -72,3 +72,9 @@ def test_reference_code_and_uuid(spark):
     assert one(spark, R.reference_code(F.lit("ffffffff-ffff-ffff-ffff-ffffffffffff"))) == "BRN-" + "Z" * 12
     u = one(spark, R.uuid_of(F.lit("a"), F.lit("b")))
     assert len(u) == 36 and u[14] == "5" and u[19] in "89ab" and u == one(spark, R.uuid_of(F.lit("a"), F.lit("b")))
+
+
+@pytest.mark.parametrize(("recency", "want"), [(0, ("low", 15)), (90, ("low", 15)), (91, ("medium", 55)), (180, ("medium", 55)), (181, ("high", 85)), (None, ("low", 15))])
+def test_churn(spark, recency, want):
+    risk = R.churn_risk(F.lit(recency).cast("bigint"))
+    assert (one(spark, risk), one(spark, R.churn_score(risk))) == want
