@@ -13,7 +13,8 @@ touch the border are known at all times, so the test walks down two chains (``Vo
 don't encode to are never candidates.
 
 Letters, numbers and white space beyond ASCII are what the tokenizers library's tables say: a
-character is asked for when a worker meets it first, and stands for its class when pieces are cut.
+character is asked for when a worker meets it first; where the pattern's tables say otherwise, a character of
+the right class stands for it when pieces are cut.
 
 The vocabulary (bounded by its file) is read on the driver, from a path that is a parameter, and broadcast; each Python
 worker builds its automaton once. Pieces and pairs met before are kept in tables of bounded size. Nothing is
@@ -27,7 +28,6 @@ UTF-8 decode to U+FFFD; an empty table gives an empty table; further columns are
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import chain
@@ -35,17 +35,18 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import python_workers
 
-KEPT_PIECES = 200_000
+KEPT_PIECES = 400_000
 KEPT_PAIRS = 500_000
 KEPT_LENGTH = 48
 
-# The pieces of the byte-level pattern, for texts whose other characters stand for their class.
-PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+# Fixed value: the byte-level pattern of pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: What stands for a letter (in no contraction), a number, white space other than a blank, and any other character.
 LETTER, NUMBER, SPACE, OTHER = "x", "1", "\t", "!"
 
@@ -125,9 +126,10 @@ class Encoder(dict):
             text = vocabulary.bytes[token].decode("latin-1")
             self.automaton.add_word(text, (token, len(text)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.classes = {i: None for i in range(128)}
+        self.pairs: dict[int, bool] = {}  # by both tokens in one number
+        self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
+        self.met = set(map(chr, range(128)))
+        self.stands: dict[int, str] = {}  # characters that the library's tables see otherwise than the pattern's
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.by_prefix(piece.encode())
@@ -138,53 +140,58 @@ class Encoder(dict):
         return ids
 
     def fits(self, left: int, right: int) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.words.compatible(left, right)
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self.words.compatible(left, right)
         return known
 
     def by_prefix(self, raw: bytes) -> tuple[int, ...]:
         """The last token of every prefix, then the back-pointers from the whole."""
-        last, sizes = array("i", bytes(4 * (len(raw) + 1))), array("i", bytes(4 * (len(raw) + 1)))
-        done = 0
+        n, done, known = len(raw), 0, self.pairs.get
+        last, sizes = ([0] * (n + 1), [0] * (n + 1)) if n < 4096 else (array("i", bytes(4 * n + 4)), array("i", bytes(4 * n + 4)))
         for at, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-            end = at + 1
-            if end > done and (end == size or self.fits(last[end - size], token)):
-                last[end], sizes[end], done = token, size, end
-        out, end = [], len(raw)
+            if at < done:
+                continue
+            start = at + 1 - size
+            if start:
+                fits = known(last[start] << 32 | token)
+                if not (self.fits(last[start], token) if fits is None else fits):
+                    continue
+            done = at + 1
+            last[done], sizes[done] = token, size
+        out, end = [], n
         while end:
             out.append(last[end])
             end -= sizes[end]
         return tuple(reversed(out))
 
     def learn(self, characters: set[str]) -> None:
-        """Ask the library for the classes of characters that weren't met before."""
+        """Ask the library for the classes of characters that weren't met before; those that the pattern sees otherwise get a stand-in."""
         from tokenizers.pre_tokenizers import ByteLevel
 
-        cut = ByteLevel(add_prefix_space=False, use_regex=True)
+        library = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         for c in characters:
-            joined = lambda s: len(cut.pre_tokenize_str(s)) == 1
-            kind = LETTER if joined("a" + c) else NUMBER if joined("1" + c) else OTHER if joined("!" + c) else SPACE
-            self.classes[ord(c)] = kind
+            kinds = [
+                next((kind for kind in (LETTER, NUMBER, OTHER) if len(cut(kind + c)) == 1), SPACE) for cut in (library, PIECE.findall)
+            ]
+            if kinds[0] != kinds[1]:
+                self.stands[ord(c)] = kinds[0]
+        self.met |= characters
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii():
-            return PIECE.findall(text)
-        new = {c for c in set(text) if ord(c) not in self.classes}
-        if new:
+        if not text.isascii() and (new := set(text) - self.met):
             self.learn(new)
-        classes = {i: k for i, k in ((ord(c), self.classes[ord(c)]) for c in set(text)) if k is not None}
-        return [text[m.start() : m.end()] for m in PIECE.finditer(text.translate(classes))]
+        if not self.stands or text.isascii() or self.stands.keys().isdisjoint(map(ord, set(text))):
+            return PIECE.findall(text)
+        return [text[m.start() : m.end()] for m in PIECE.finditer(text.translate(self.stands))]
 
     def encode(self, text: str) -> Iterator[int]:
-        at = 0
+        runs, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
-            yield from chain.from_iterable(map(self.__getitem__, self.pieces(text[at : m.start()])))
-            yield self.words.special[m.group()]
+            runs += [map(self.__getitem__, self.pieces(text[at : m.start()])), ((self.words.special[m.group()],),)]
             at = m.end()
-        yield from chain.from_iterable(map(self.__getitem__, self.pieces(text[at:])))
+        runs.append(map(self.__getitem__, self.pieces(text[at:])))
+        return chain.from_iterable(chain.from_iterable(runs))
 
 
 _ENCODERS: dict[int, tuple[Vocabulary, Encoder]] = {}
