@@ -2,10 +2,11 @@
 
 A text is cut at special tokens, then into pieces (words, numbers, marks, white space) as the tokenizer's file
 asks for; pieces are encoded on their own. For every prefix of a piece the last token of its encoding is unique: it is the token that
-ends the prefix and is compatible with the last token of the prefix before it. An automaton over the
-vocabulary, whose suffix links lead from a match to the shorter tokens that end at the same byte,
-yields the candidates of all prefixes in one pass; the first compatible one is stored, and back-pointers
-from the whole piece give its ids. No merge queue is run.
+ends the prefix and is compatible with the last token of the prefix before it. An automaton of the
+vocabulary's suffixes (``Automaton``) has, after every byte, the longest token that ends there and links to the shorter ones,
+so it yields the candidates of all prefixes in one pass; the compatible one is stored, and back-pointers
+from the whole piece give its ids. No merge queue is run. Short pieces that weren't met before are worked through together, a step for
+each length of prefix (``Encoder.together``), longer ones by themselves (``Encoder.by_prefix``).
 
 Two tokens are compatible if encoding them side by side leaves them as they are: no merge over their border comes
 before the merges that made them. Taking back those merges, the latest first, the two tokens that
@@ -28,11 +29,10 @@ UTF-8 decode to U+FFFD; an empty table gives an empty table; further columns are
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -42,11 +42,14 @@ from pyspark.sql import functions as F
 from quern.llm.common import python_workers
 
 KEPT_PIECES = 400_000
-KEPT_PAIRS = 500_000
+STEP_PIECES = 5_000
+PAIR_BITS = 20
 KEPT_LENGTH = 48
 
 # Fixed value: the byte-level pattern of pieces.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for ASCII, where the standard library's matcher is quicker.
+ASCII_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: What stands for a letter (in no contraction), a number, white space other than a blank, and any other character.
 LETTER, NUMBER, SPACE, OTHER = "x", "1", "\t", "!"
 
@@ -115,55 +118,145 @@ class Vocabulary:
         return found
 
 
+class Automaton:
+    """After any bytes, the state is the longest end of them that begins a token.
+
+    ``longest`` has the longest token that ends there, ``shorter`` the next token that ends where a token does. Only states with
+    children have a row of steps; the others step as the state of their next shorter end.
+    """
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        children: list[dict[int, int]] = [{}]
+        ending = [-1]
+        for token, text in tokens.items():
+            state = 0
+            for b in text:
+                state = children[state].setdefault(b, len(children))
+                if state == len(children):
+                    children.append({})
+                    ending.append(-1)
+            ending[state] = token
+        n = len(children)
+        fail, row, longest = [0] * n, [0] * n, ending[:]
+        self.shorter = np.full(max(tokens) + 1, -1, np.int32)
+        steps = [np.zeros(256, np.int32)]
+        queue = [0]
+        for state in queue:
+            end = fail[state]
+            if state and ending[state] < 0:
+                longest[state] = longest[end]
+            elif state:
+                self.shorter[ending[state]] = longest[end]
+            row[state] = row[end]
+            if children[state]:
+                own = steps[row[end]].copy()
+                for b, child in children[state].items():
+                    fail[child] = int(own[b]) if state else 0
+                    own[b] = child
+                    queue.append(child)
+                row[state] = 0 if not state else len(steps)
+                if state:
+                    steps.append(own)
+                else:
+                    steps[0] = own
+        self.step = np.concatenate(steps)
+        self.row = np.array(row, np.int32) * 256
+        self.longest = np.array(longest, np.int32)
+
+
 class Encoder(dict):
-    """Ids of a piece (a dictionary that works out what it lacks), and of whole texts."""
+    """The ids of a piece as the bytes of 32-bit numbers (a dictionary that works out what it lacks), and those of whole texts."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.words = vocabulary
-        self.automaton = ahocorasick.Automaton()
         specials = set(vocabulary.special.values())
-        for token in vocabulary.reachable() - specials:
-            text = vocabulary.bytes[token].decode("latin-1")
-            self.automaton.add_word(text, (token, len(text)))
-        self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}  # by both tokens in one number
+        self.automaton = Automaton({t: vocabulary.bytes[t] for t in sorted(vocabulary.reachable() - specials)})
+        self.sizes = np.zeros(max(vocabulary.bytes) + 1, np.int64)
+        self.sizes[list(vocabulary.bytes)] = list(map(len, vocabulary.bytes.values()))
+        self.pairs, self.fit = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
         self.met = set(map(chr, range(128)))
         self.stands: dict[int, str] = {}  # characters that the library's tables see otherwise than the pattern's
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.by_prefix(piece.encode())
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def fits(self, left: int, right: int) -> bool:
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left << 32 | right] = self.words.compatible(left, right)
-        return known
-
-    def by_prefix(self, raw: bytes) -> tuple[int, ...]:
-        """The last token of every prefix, then the back-pointers from the whole."""
-        n, done, known = len(raw), 0, self.pairs.get
-        last, sizes = ([0] * (n + 1), [0] * (n + 1)) if n < 4096 else (array("i", bytes(4 * n + 4)), array("i", bytes(4 * n + 4)))
-        for at, (token, size) in self.automaton.iter(raw.decode("latin-1")):
-            if at < done:
-                continue
-            start = at + 1 - size
-            if start:
-                fits = known(last[start] << 32 | token)
-                if not (self.fits(last[start], token) if fits is None else fits):
-                    continue
-            done = at + 1
-            last[done], sizes[done] = token, size
-        out, end = [], n
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.int32([self.words.special[piece]]).tobytes() if piece in self.words.special else self.by_prefix(piece.encode())
+        return self.keep({piece: ids})[piece]
+
+    def keep(self, found: dict[str, bytes]) -> dict[str, bytes]:
+        if len(self) + len(found) > KEPT_PIECES:
+            self.clear()
+        self.update((p, ids) for p, ids in found.items() if len(p) <= KEPT_LENGTH)
+        return found
+
+    def fits(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pairs (left token * 2**32 + right token) are compatible; a table of fixed size keeps those met last."""
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, new = self.fit[slot], np.flatnonzero(self.pairs[slot] != keys)
+        if len(new):
+            pairs, at = np.unique(keys[new], return_inverse=True)
+            found = np.array([self.words.compatible(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()])[at]
+            out[new] = found
+            slot = slot[new]
+            self.pairs[slot] = keys[new]
+            self.fit[slot] = found
+            odd = self.pairs[slot] != keys[new]  # several pairs of one slot: none of them is kept
+            self.pairs[slot[odd]] = -1
+        return out
+
+    def by_prefix(self, raw: bytes) -> bytes:
+        """The last token of every prefix of a piece, then the back-pointers from the whole."""
+        of = self.automaton
+        step, row, longest, shorter, sizes = map(memoryview, (of.step, of.row, of.longest, of.shorter, self.sizes))
+        last, known = array("i", bytes(4 * len(raw) + 4)), {}
+        state = 0
+        for at, b in enumerate(raw, 1):
+            state = step[row[state] + b]
+            token = longest[state]
+            while (start := at - sizes[token]) > 0:
+                key = last[start] << 32 | token
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= 1 << PAIR_BITS:
+                        known.clear()
+                    fits = known[key] = self.words.compatible(last[start], token)
+                if fits:
+                    break
+                token = shorter[token]
+            last[at] = token
+        out, end = array("i"), len(raw)
         while end:
             out.append(last[end])
-            end -= sizes[end]
-        return tuple(reversed(out))
+            end -= sizes[last[end]]
+        return out[::-1].tobytes()
+
+    def together(self, pieces: list[str]) -> dict[str, bytes]:
+        """The same for short pieces in order of their bytes' number: prefixes of one length of all of them in a step."""
+        of, raws = self.automaton, [p.encode() for p in pieces]
+        size = np.array(list(map(len, raws)))
+        longest = int(size[-1])
+        text = np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in raws), np.uint8).reshape(len(raws), longest)
+        last = np.full((len(raws), longest + 1), -1)
+        state = np.zeros(len(raws), np.int32)
+        for at in range(longest):
+            low = np.searchsorted(size, at, "right")  # pieces with a byte there
+            rows = np.arange(low, len(raws))
+            state[low:] = of.step[of.row[state[low:]] + text[low:, at]]
+            token = of.longest[state[low:]].astype(np.int64)
+            while len(rows):
+                before = last[rows, at + 1 - self.sizes[token]]
+                fits = before < 0  # the prefix is a token
+                rest = np.flatnonzero(~fits)
+                fits[rest] = self.fits(before[rest] << 32 | token[rest])
+                last[rows[fits], at + 1] = token[fits]
+                rows, token = rows[~fits], of.shorter[token[~fits]].astype(np.int64)
+        at, columns = size.copy(), []
+        while (now := last[np.arange(len(raws)), at]).max() >= 0:
+            columns.append(now)
+            at -= np.where(now >= 0, self.sizes[now], 0)
+        back = np.array(columns[::-1], np.int32)
+        flat, counts = back.T[(back >= 0).T].tobytes(), (back >= 0).sum(0)
+        ends = (4 * np.cumsum(counts)).tolist()
+        return {p: flat[low:high] for p, low, high in zip(pieces, [0, *ends], ends, strict=False)}
 
     def learn(self, characters: set[str]) -> None:
         """Ask the library for the classes of characters that weren't met before; those that the pattern sees otherwise get a stand-in."""
@@ -171,27 +264,37 @@ class Encoder(dict):
 
         library = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         for c in characters:
-            kinds = [
-                next((kind for kind in (LETTER, NUMBER, OTHER) if len(cut(kind + c)) == 1), SPACE) for cut in (library, PIECE.findall)
-            ]
+            kinds = [next((kind for kind in (LETTER, NUMBER, OTHER) if len(cut(kind + c)) == 1), SPACE) for cut in (library, PIECE.findall)]
             if kinds[0] != kinds[1]:
                 self.stands[ord(c)] = kinds[0]
         self.met |= characters
 
-    def pieces(self, text: str) -> list[str]:
-        if not text.isascii() and (new := set(text) - self.met):
+    def plain_pieces(self, text: str) -> list[str]:
+        if text.isascii():
+            return ASCII_PIECE.findall(text)
+        here = set(text)
+        if new := here - self.met:
             self.learn(new)
-        if not self.stands or text.isascii() or self.stands.keys().isdisjoint(map(ord, set(text))):
+        if not self.stands or self.stands.keys().isdisjoint(map(ord, here)):
             return PIECE.findall(text)
         return [text[m.start() : m.end()] for m in PIECE.finditer(text.translate(self.stands))]
 
-    def encode(self, text: str) -> Iterator[int]:
-        runs, at = [], 0
+    def pieces(self, text: str) -> list[str]:
+        """Special tokens and, between them, the pieces of the text."""
+        out, at = [], 0
         for m in self.special.finditer(text) if self.special else ():
-            runs += [map(self.__getitem__, self.pieces(text[at : m.start()])), ((self.words.special[m.group()],),)]
+            out += [*self.plain_pieces(text[at : m.start()]), m.group()]
             at = m.end()
-        runs.append(map(self.__getitem__, self.pieces(text[at:])))
-        return chain.from_iterable(chain.from_iterable(runs))
+        return out + self.plain_pieces(text[at:]) if at else self.plain_pieces(text)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.pieces(t) for t in texts]
+        new = set().union(*cut) - self.keys() - self.words.special.keys()
+        short = sorted((p for p in new if len(p) <= KEPT_LENGTH), key=lambda p: len(p.encode()))
+        for low in range(0, len(short), STEP_PIECES):
+            self.keep(self.together(short[low : low + STEP_PIECES]))
+        return [np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32) for pieces in cut]
 
 
 _ENCODERS: dict[int, tuple[Vocabulary, Encoder]] = {}
@@ -225,7 +328,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(shared.value)
         for batch in batches:
-            ids = [np.fromiter(of.encode(t), np.int32) for t in batch.column("text").to_pylist()]
+            ids = of.encode(batch.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "ids"])
@@ -242,7 +345,10 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in batches:
-            texts = [b"".join(of.get(i, b"") for i in ids or ()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            ids = batch.column("ids")
+            parts = [of.get(i, b"") for i in ids.flatten().to_numpy(zero_copy_only=False).tolist()]
+            ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy()).tolist()
+            texts = [b"".join(parts[low:high]).decode("utf-8", "replace") for low, high in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quern.llm import bpe
@@ -33,8 +34,10 @@ def test_ids_equal_the_library(library, own):
     texts = [noise(rng, rng.randrange(60)) for _ in range(4000)]
     texts += ["".join(chr(rng.choice([*range(32, 0x3000), *range(0x1F300, 0x1FAFF)])) for _ in range(30)) for _ in range(500)]
     texts += ["a" * n for n in range(1, 200)] + ["=" * n for n in range(1, 150)] + [" " * n for n in range(1, 150)]
+    assert [i.tolist() for i in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    own.clear()
     for text in texts:
-        ids = list(own.encode(text))
+        ids = own.encode([text])[0].tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids, text
         assert b"".join(own.words.bytes[i] for i in ids).decode() == text
 
@@ -46,15 +49,15 @@ def test_classes_of_all_characters_equal_the_library(library, own):
     for low in range(0, len(points), step * 25):
         text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}  {chr(c)}'" for c in points[low : low + step])
         own.met, own.stands = set(map(chr, range(128))), {}
-        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_long_pieces_take_linear_time(library, own):
     rng = random.Random(3)
     long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
-    assert list(own.encode(long)) == library.encode(long, add_special_tokens=False).ids
+    assert own.encode([long])[0].tolist() == library.encode(long, add_special_tokens=False).ids
     run = "q" * 200_000
-    assert list(own.encode(run)) == library.encode(run, add_special_tokens=False).ids
+    assert own.encode([run])[0].tolist() == library.encode(run, add_special_tokens=False).ids
 
 
 def merged(text: str, ranks: dict, ids: dict) -> list[int]:
@@ -85,9 +88,11 @@ def test_prefix_programme_on_random_vocabularies():
                 tokens.append(a + b)
         file = {"model": {"type": "BPE", "vocab": vocab, "merges": merges}, "pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "normalizer": None, "added_tokens": []}
         own = bpe.Encoder(bpe.Vocabulary(json.dumps(file)))
-        for n in range(1, 8):
-            for text in map("".join, itertools.product("abc", repeat=n)):
-                assert list(own.by_prefix(text.encode())) == merged(text, own.words.ranks, vocab), (merges, text)
+        texts = ["".join(t) for n in range(1, 8) for t in itertools.product("abc", repeat=n)]
+        together = own.together(texts)  # in order of length
+        for text in texts:
+            want = np.int32(merged(text, own.words.ranks, vocab)).tobytes()
+            assert own.by_prefix(text.encode()) == want == together[text], (merges, text)
 
 
 def test_digest_of_odd_rows(docs_of, library, own):
