@@ -43,7 +43,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-NUMBERS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ()./+-]{0,3}[0-9])++(?![A-Za-z0-9])")
+NUMBERS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ()./+-]{0,3}[0-9])++")  # whole runs; what follows them is tested after
 ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,63}){1,6}")
 TOKEN = re.compile(r"[0-9]+|\((?:at|dot)\)|\[(?:at|dot)\]|[A-Za-z]+|.", re.S)
 
@@ -74,7 +74,8 @@ def base_spans(text: str) -> list[Span]:
             done = at + 1
         at = text.find("@", done)
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        parts = [p.lstrip("0") or "0" for p in m.group().split(".")]  # zeros first: int() refuses very long strings
+        if all(len(p) <= 3 and int(p) <= 255 for p in parts):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = re.sub("[ -]", "", m.group())
@@ -88,7 +89,8 @@ def base_spans(text: str) -> list[Span]:
 
 def zones(text: str) -> list[tuple[int, int]]:
     """Stretches to decode: number runs with at least seven digits, and addresses, apart from each other."""
-    found = [m.span() for m in NUMBERS.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7]
+    joins = lambda at: at < len(text) and text[at].isascii() and text[at].isalnum()
+    found = [m.span() for m in NUMBERS.finditer(text) if not joins(m.end()) and sum(c.isdigit() for c in m.group()) >= 7]
     if "@" in text or "(at)" in text or "[at]" in text:
         found += [m.span() for m in ADDRESS.finditer(text)]
     out: list[tuple[int, int]] = []
@@ -127,7 +129,8 @@ def features(part: str, before: str, after: str, word: str) -> list[str]:
     if 13 <= len(digits) <= 19:
         out.append("luhn" if luhn(digits) else "unluhn")
     if marks == "." and len(groups) == 4:
-        out.append("octets" if all(int(g) <= 255 for g in part.split(".") if g.isdigit()) else "no octets")
+        octets = [g.lstrip("0") or "0" for g in part.split(".") if g.isdigit()]
+        out.append("octets" if all(len(g) <= 3 and int(g) <= 255 for g in octets) else "no octets")
     if part[0] == "+":
         out.append("plus")
     if re.fullmatch(r"(?:\+?[0-9]{1,3}[ -])?\([0-9]{3}\) ?[0-9]{3}[ -][0-9]{4}", part):
