@@ -22,19 +22,24 @@ def parsed(events: DataFrame, fields: str, payload: str = "pj") -> DataFrame:
     return events.select(*kept, F.inline(F.array(body))).select(*kept, "properties.*")
 
 
-def newest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """The row of each key that is greatest in ``order``."""
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_b")).select(*keys, "_b.*")
+def newest(rows: DataFrame, keys: list[str], order: list[str], columns: list[str | Column]) -> DataFrame:
+    """The row of each key that is greatest in ``order``; of rows alike in all of it, the one of greatest ``columns``.
+
+    So the order is total on what is returned: replayed or repeated rows in any arrangement give one result.
+    """
+    content = F.struct(*columns)
+    return rows.groupBy(*keys).agg(F.max_by(content, F.struct(*order, content.alias("_content"))).alias("_b")).select(*keys, "_b.*")
 
 
 def return_states(events: DataFrame) -> DataFrame:
-    """Latest return state of an order: a completed return wins, then the later change, event and id."""
+    """Latest return state of an order: a completed return wins, then the later change, event, id and greatest content."""
     fields = "order_id string, source string, awb_number_hash string, courier string, status string, return_class string, is_return_complete string, status_changed_at string"
     rows = parsed(events, fields).where(F.coalesce(F.col("order_id"), F.lit("")) != "")
     rows = rows.withColumn("is_return_complete", F.coalesce(F.col("is_return_complete") == "true", F.lit(False)))
     rows = rows.withColumn("return_class", F.coalesce("return_class", F.lit("none"))).withColumn("last_status_at", F.coalesce("status_changed_at", F.col("occurred_at").cast("string")))
     columns = [F.col("status").alias("current_status"), "return_class", "is_return_complete", "courier", "last_status_at"]
-    best = F.max_by(F.struct(*columns), F.struct("is_return_complete", "last_status_at", "occurred_at", "event_id")).alias("_b")
+    content = F.struct(*columns)
+    best = F.max_by(content, F.struct("is_return_complete", "last_status_at", "occurred_at", "event_id", content.alias("_content"))).alias("_b")
     return rows.groupBy("brand_id", "order_id").agg(best, F.min("occurred_at").alias("first_event_at")).select("brand_id", "order_id", "_b.*", "first_event_at")
 
 

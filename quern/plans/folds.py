@@ -35,7 +35,7 @@ def pj(**properties: Column) -> Column:
   SELECT 'b' || CAST(l_orderkey % 3 AS VARCHAR) AS brand_id, CAST(l_orderkey AS VARCHAR) AS order_id, min(CAST(l_shipdate AS TIMESTAMP)) AS first_event_at,
     arg_max({'current_status': l_returnflag, 'return_class': CASE l_returnflag WHEN 'R' THEN 'refund' ELSE 'none' END, 'is_return_complete': l_returnflag = 'R' AND l_linestatus = 'F',
       'courier': 'c' || CAST(l_suppkey % 5 AS VARCHAR), 'last_status_at': strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')},
-      (l_returnflag = 'R' AND l_linestatus = 'F', strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), l_orderkey * 10 + l_linenumber)) AS b
+      (l_returnflag = 'R' AND l_linestatus = 'F', strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S'), l_orderkey * 10 + l_linenumber, l_returnflag, l_suppkey % 5)) AS b
   FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2)""",
 )
 def return_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def return_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT brand_id, fulfillment_id, b.* FROM (SELECT 'b' || CAST(l_orderkey % 3 AS VARCHAR) AS brand_id,
     CASE WHEN l_linenumber % 2 = 0 THEN 'f' || CAST(l_orderkey % 700 AS VARCHAR) WHEN l_linenumber % 3 = 0 THEN 'g' || CAST(l_orderkey % 500 AS VARCHAR) END AS fulfillment_id,
     arg_max({'order_id': CAST(l_orderkey AS VARCHAR), 'status': l_linestatus, 'tracking_company': 'c' || CAST(l_suppkey % 5 AS VARCHAR), 'event_id': l_orderkey * 10 + l_linenumber, 'occurred_at': CAST(l_shipdate AS TIMESTAMP)},
-      (CAST(l_shipdate AS TIMESTAMP), l_orderkey * 10 + l_linenumber)) AS b FROM lineitem GROUP BY 1, 2) WHERE fulfillment_id IS NOT NULL""",
+      (CAST(l_shipdate AS TIMESTAMP), l_orderkey * 10 + l_linenumber, l_orderkey, l_linestatus, l_suppkey % 5)) AS b FROM lineitem GROUP BY 1, 2) WHERE fulfillment_id IS NOT NULL""",
 )
 def fulfillment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state of each fulfilment."""
@@ -107,8 +107,8 @@ def spend_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s19_cod_outcome",
     sql("""
-, pr AS (SELECT brand_id, order_id, arg_max(['high', 'medium', 'low'][CAST(product_id % 3 + 1 AS BIGINT)], (shipped_at, line_number)) AS flag, max(shipped_at) AS predicted_at, max((shipped_at, line_number)) AS m FROM lo WHERE line_number % 2 = 0 GROUP BY 1, 2),
-sh AS (SELECT brand_id, order_id, arg_max(CASE WHEN return_flag = 'R' THEN 'rto' WHEN line_status = 'F' THEN 'delivered' ELSE 'none' END, (shipped_at, line_number)) AS kind, max(shipped_at) AS awb_terminal_at, max((shipped_at, line_number)) AS m FROM lo WHERE line_number % 3 = 0 GROUP BY 1, 2)
+, pr AS (SELECT brand_id, order_id, arg_max(['high', 'medium', 'low'][CAST(product_id % 3 + 1 AS BIGINT)], (shipped_at, line_number, ['high', 'medium', 'low'][CAST(product_id % 3 + 1 AS BIGINT)])) AS flag, max(shipped_at) AS predicted_at, max((shipped_at, line_number)) AS m FROM lo WHERE line_number % 2 = 0 GROUP BY 1, 2),
+sh AS (SELECT brand_id, order_id, arg_max(CASE WHEN return_flag = 'R' THEN 'rto' WHEN line_status = 'F' THEN 'delivered' ELSE 'none' END, (shipped_at, line_number, CASE WHEN return_flag = 'R' THEN 'rto' WHEN line_status = 'F' THEN 'delivered' ELSE 'none' END)) AS kind, max(shipped_at) AS awb_terminal_at, max((shipped_at, line_number)) AS m FROM lo WHERE line_number % 3 = 0 GROUP BY 1, 2)
 SELECT o.brand_id, o.order_id, o.amount_minor AS cod_amount_minor, o.currency_code, flag AS rto_risk_flag, flag IN ('high', 'medium') AS predicted_rto, kind AS awb_terminal_class, kind = 'rto' AS actual_rto, kind = 'delivered' AS actual_delivered,
   (flag IN ('high', 'medium')) = (kind = 'rto') AS prediction_correct, o.placed_at AS cod_order_at, predicted_at, awb_terminal_at, greatest(o.placed_at, predicted_at + to_hours(pr.m[2]), awb_terminal_at + to_hours(sh.m[2])) AS ingested_at
 FROM o LEFT JOIN pr ON pr.brand_id = o.brand_id AND pr.order_id = o.order_id LEFT JOIN sh ON sh.brand_id = o.brand_id AND sh.order_id = o.order_id WHERE payment_method = 'cod'"""),
@@ -226,7 +226,7 @@ def probabilistic_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql("""
 , tp AS (SELECT brand_id, visitor_id, touch_seq, seen_at, CASE WHEN visitor_id % 4 <> 0 THEN CAST(visitor_id % 60 AS VARCHAR) ELSE 'anonymous_' || CAST(visitor_id AS VARCHAR) END AS profile_id, event_type = 'purchase' AND k % 2 = 0 AS is_composite, k * 4 AS order_key,
     sha256(concat_ws('||', brand_id, CAST(visitor_id AS VARCHAR), CAST(touch_seq AS VARCHAR))) AS touchpoint_id, 'channel=' || channel || CASE WHEN k % 3 = 0 THEN ',device=d' || CAST(k % 5 AS VARCHAR) ELSE '' END AS signals FROM s),
-bd AS (SELECT 'b' || CAST(c_custkey % 3 AS VARCHAR) AS brand_id, CAST(c_custkey AS VARCHAR) AS profile_id, c, CASE WHEN c = 5 THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-01-05' + to_days(CAST(c_custkey % 20 AS INTEGER)) END AS f, CASE WHEN c = 5 THEN TIMESTAMP '2024-01-05' + to_days(CAST(c_custkey % 20 AS INTEGER)) END AS t FROM customer CROSS JOIN (VALUES (5), (9)) AS x(c) WHERE c_custkey < 60)
+bd AS (SELECT 'b' || CAST(c_custkey % 3 AS VARCHAR) AS brand_id, CAST(c_custkey AS VARCHAR) AS profile_id, c, CASE WHEN c = 5 THEN TIMESTAMP '2024-01-05' ELSE TIMESTAMP '2024-01-05' + to_days(CAST(c_custkey % 20 AS INTEGER)) END AS f, CASE WHEN c = 5 THEN TIMESTAMP '2024-01-05' + to_days(CAST(c_custkey % 20 AS INTEGER)) END AS t FROM customer CROSS JOIN (VALUES (5), (9)) AS x(c))
 SELECT tp.brand_id, tp.profile_id, touchpoint_id, row_number() OVER (PARTITION BY tp.brand_id, tp.profile_id ORDER BY seen_at, touch_seq, visitor_id) AS sequence_number, o.amount_minor AS revenue_minor, o.currency_code, signals,
   bd.profile_id AS profile_id_asof, CAST(bd.c AS BIGINT) AS confidence_asof, 1 AS data_version, NOT (visitor_id % 10 = 0 AND touch_seq <= 2) AS is_current
 FROM tp LEFT JOIN o ON o.brand_id = tp.brand_id AND o.order_id = tp.order_key AND is_composite LEFT JOIN bd ON bd.brand_id = tp.brand_id AND bd.profile_id = tp.profile_id AND bd.f <= seen_at AND (bd.t IS NULL OR seen_at < bd.t)"""),
@@ -241,7 +241,7 @@ def journey_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, first = F.col("c_custkey"), F.lit("2024-01-05").cast("date")
     split = F.date_add(first, (c % 20).cast("int")).cast("timestamp")
     band = lambda n, low, high: F.struct(F.lit(n).cast("bigint").alias("confidence"), low.alias("effective_from"), high.cast("timestamp").alias("effective_to"))
-    bands = table(spark, sf_dir, "customer").where(c < 60).select(brand("c_custkey"), c.alias("profile_id"), F.inline(F.array(band(5, first.cast("timestamp"), split), band(9, split, F.lit(None)))))
+    bands = table(spark, sf_dir, "customer").select(brand("c_custkey"), c.alias("profile_id"), F.inline(F.array(band(5, first.cast("timestamp"), split), band(9, split, F.lit(None)))))
     ref = F.sha2(F.concat_ws("||", "brand_id", text(v), text("touch_seq")), 256)
     stored = rows.where((v % 10 == 0) & (F.col("touch_seq") <= 3)).select("brand_id", ref.alias("touchpoint_id"), F.when(F.col("touch_seq") <= 2, 2).otherwise(1).alias("data_version"))
     out = P.journey_ledger(rows, bands, orders(spark, sf_dir), stored, ["channel", "device"])

@@ -57,13 +57,14 @@ def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s1a_event_category",
-    """SELECT col0 AS name, col1 AS category FROM (VALUES ('order.upsert.v1', 'other'), ('Order.live.v1', 'transaction'), ('spend.live.v1', 'marketing'), ('shiprocket.x', 'fulfillment'),
-  ('gokwik.rto_predict.v1', 'fulfillment'), ('call.ended', 'support'), ('rage.click', 'behaviour'), ('begin_checkout', 'behaviour'), ('', 'other'), ('zzz', 'other'))""",
+    sql("""SELECT event_id, n.name, n.category FROM e JOIN (VALUES (0, 'order.upsert.v1', 'other'), (1, 'Order.live.v1', 'transaction'), (2, 'spend.live.v1', 'marketing'), (3, 'shiprocket.x', 'fulfillment'),
+  (4, 'gokwik.rto_predict.v1', 'fulfillment'), (5, 'call.ended', 'support'), (6, 'rage.click', 'behaviour'), (7, 'begin_checkout', 'behaviour'), (8, '', 'other'), (9, 'zzz', 'other')) AS n(i, name, category) ON n.i = e.k % 10"""),
 )
 def event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The category ladder over event names."""
+    """The category ladder over the names of all events, whose JSON property picks one of ten."""
     names = ["order.upsert.v1", "Order.live.v1", "spend.live.v1", "shiprocket.x", "gokwik.rto_predict.v1", "call.ended", "rage.click", "begin_checkout", "", "zzz"]
-    return spark.createDataFrame([(n,) for n in names], "name string").withColumn("category", R.event_category(F.col("name")))
+    name = F.get(F.array(*map(F.lit, names)), (F.col("k") % 10).cast("int"))
+    return touches(spark, sf_dir).where(F.col("k").isNotNull()).select("event_id", name.alias("name")).withColumn("category", R.event_category(F.col("name")))
 
 
 # -- silver projections ------------------------------------------------------------------------------------------------

@@ -141,12 +141,12 @@ def campaign_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "s18_campaign",
     sql("""SELECT coalesce(p.campaign_id, n.campaign_id) AS campaign_id, n.status, coalesce(p.spend_minor, 0) AS spend_minor, coalesce(p.conversions, 0) AS conversions, coalesce(n.status = 'paused' AND p.conversions > 0, false) AS paused_with_conversions FROM
-  (SELECT k % 20 AS campaign_id, CAST(sum(value_minor) FILTER (WHERE event_type = 'click') AS BIGINT) AS spend_minor, count(*) FILTER (WHERE event_type = 'purchase') AS conversions FROM e WHERE k < 60 GROUP BY 1) p FULL OUTER JOIN
+  (SELECT k % 20 AS campaign_id, CAST(sum(value_minor) FILTER (WHERE event_type = 'click') AS BIGINT) AS spend_minor, count(*) FILTER (WHERE event_type = 'purchase') AS conversions FROM e GROUP BY 1) p FULL OUTER JOIN
   (SELECT n_nationkey AS campaign_id, CASE WHEN n_regionkey % 2 = 0 THEN 'active' ELSE 'paused' END AS status FROM nation) n ON n.campaign_id = p.campaign_id"""),
 )
 def campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend beside the campaign entity, either of which may lack the other."""
-    rows = touches(spark, sf_dir).where(F.col("k") < 60)
+    rows = touches(spark, sf_dir)
     spend = rows.groupBy((F.col("k") % 20).alias("campaign_id")).agg(total(F.when(F.col("event_type") == "click", F.col("value_minor"))).alias("spend_minor"), F.count_if(F.col("event_type") == "purchase").alias("conversions"))
     entity = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("campaign_id"), F.when(F.col("n_regionkey") % 2 == 0, "active").otherwise("paused").alias("status"))
     zero = F.lit(0).cast("bigint")
