@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from quern.plans import customers, folds, journeys, metrics, platform, products, reads, revenue, series, upkeep  # noqa: E402,F401
+from quern.plans import customers, folds, journeys, metrics, platform, products, reads, resolution, revenue, series, upkeep  # noqa: E402,F401
