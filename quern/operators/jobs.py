@@ -9,7 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.upsert import in_window, incremental_window, merge_on_key
+from quern.operators.tables import StoredTable
+from quern.operators.upsert import in_window, incremental_window
 from quern.session import stored
 from quern.sources.events import or_empty
 
@@ -33,17 +34,16 @@ def run_job(
 ) -> dict:
     """One run: pin the newest source time, build the window's rows, merge them into ``target``, then advance the mark.
 
-    The merged table is cut before it replaces the old one, since it is read from it. The mark moves last: a run
-    that fails is repeated over the same window, and the merge makes that harmless. Prints a line of JSON.
+    The target is a ``StoredTable``: only buckets that staged keys touch are read and written, and its pointer moves after
+    them, so a run that dies while writing leaves the old table. The mark moves last: a run that fails is repeated over the same
+    window, and the merge makes that harmless. Prints a line of JSON.
     """
     high = source.agg(F.max(column)).first()[0]
     window = incremental_window(read_watermark(spark, marks, job), high, full=full)
-    staged = build(in_window(source, column, window))
-    old = or_empty(spark, target, staged.schema)
-    merged = stored(merge_on_key(old, staged, keys, order))
-    merged.write.mode("overwrite").parquet(target)
+    table = StoredTable(spark, target, keys)
+    table.merge(stored(build(in_window(source, column, window))), keys, order)
     if high is not None:
         write_watermark(spark, marks, job, high)
-    line = {"job": job, "from": str(window[0]), "to": str(high), "rows": merged.count()}
+    line = {"job": job, "from": str(window[0]), "to": str(high), "rows": table.read().count()}
     print(json.dumps(line), flush=True)
     return line

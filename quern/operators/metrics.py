@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.tables import StoredTable
+
 GRAINS = ("day", "week", "month", "all")
+CELL = ["brand_id", "currency_code", "bucket"]
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,7 @@ class Entity:
     time: str
     final: str | None = None
     dimensions: tuple[str, ...] = field(default=())
+    key: tuple[str, ...] = ()
 
 
 def bucket(time: str, grain: str) -> Column:
@@ -63,7 +67,7 @@ class Catalogue:
             legs.setdefault(self.measures[n].entity, []).append(n)
         return legs
 
-    def _leg(self, entity: str, names: list[str], grain: str, dimensions: tuple[str, ...], brand: str | None) -> DataFrame:
+    def _leg(self, entity: str, names: list[str], grain: str, dimensions: tuple[str, ...], brand: str | None, only: DataFrame | None = None) -> DataFrame:
         e = self.entities[entity]
         rows = e.load()
         if e.final is None:
@@ -74,15 +78,18 @@ class Catalogue:
         missing = set(dimensions) - set(rows.columns)
         if missing:
             raise ValueError(f"{entity} lacks dimensions {sorted(missing)}")
-        return rows.groupBy("brand_id", "currency_code", bucket(e.time, grain).alias("bucket"), *dimensions).agg(*[self.measures[n].column().alias(n) for n in names])
+        rows = rows.withColumn("bucket", bucket(e.time, grain))
+        if only is not None:
+            rows = rows.join(only, CELL, "left_semi")
+        return rows.groupBy(*CELL, *dimensions).agg(*[self.measures[n].column().alias(n) for n in names])
 
-    def aggregate(self, metric: str, grain: str, dimensions: tuple[str, ...] = (), brand: str | None = None) -> DataFrame:
+    def aggregate(self, metric: str, grain: str, dimensions: tuple[str, ...] = (), brand: str | None = None, only: DataFrame | None = None) -> DataFrame:
         """The metric's measures by tenant, currency, bucket and dimensions.
 
         Legs of different entities are aggregated by themselves, padded with nulls and summed: no join
         of facts, so neither side fans out.
         """
-        legs = [self._leg(e, names, grain, dimensions, brand) for e, names in self._legs(self.metrics[metric].measures).items()]
+        legs = [self._leg(e, names, grain, dimensions, brand, only) for e, names in self._legs(self.metrics[metric].measures).items()]
         if len(legs) == 1:
             return legs[0]
         out = legs[0]
@@ -109,3 +116,47 @@ class Catalogue:
             return None
         rows = stored.groupBy(*keys).agg(*[F.sum(n).cast("bigint").alias(n) for n in m.measures]) if coarser else stored
         return rows.select(*keys, F.expr(m.expression).alias("value"))
+
+    def rebuild(self, table: StoredTable, metric: str, grain: str = "month", dimensions: tuple[str, ...] = ()) -> None:
+        """The metric's measures stored anew; readers see the old ones until all is written."""
+        table.replace(self.aggregate(metric, grain, dimensions), metric=metric, grain=grain, dimensions=",".join(dimensions))
+
+    def upkeep(self, table: StoredTable, changed: DataFrame) -> None:
+        """The stored measures of changed cells (tenant, currency, bucket) reckoned again, from those cells' source rows alone.
+
+        A cell whose source rows are gone loses its rows. ``table`` must be keyed by the cell.
+        """
+        facts = table.facts()
+        cells = changed.select(*CELL).distinct()
+        dimensions = tuple(d for d in facts["dimensions"].split(",") if d)
+        table.swap(self.aggregate(facts["metric"], facts["grain"], dimensions, only=cells), cells)
+
+    def lineage(self, metric: str, grain: str = "month", brand: str | None = None) -> DataFrame:
+        """Each source row that a cell of the metric is made of: cell, measure, entity, the row's id and what it adds.
+
+        One pass a leg, without a shuffle: rows become one row for each measure that they count in. The
+        contributions of a cell add up to its measures (``verified`` tells whether they do).
+        """
+        out = None
+        for entity, names in self._legs(self.metrics[metric].measures).items():
+            e = self.entities[entity]
+            if not e.key or not all(self.measures[n].additive for n in names):
+                raise ValueError(f"rows of {entity} can't be traced: it declares no key, or a measure isn't a sum")
+            rows = e.load().where(e.final or "true").withColumn("bucket", bucket(e.time, grain))
+            rows = rows if brand is None else rows.where(F.col("brand_id") == brand)
+            parts = [F.when(F.expr(self.measures[n].where), F.struct(F.lit(n).alias("measure"), F.expr(self.measures[n].value).cast("bigint").alias("adds"))) for n in names]
+            told = F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull() & x["adds"].isNotNull())).alias("_m")
+            leg = rows.select(*CELL, F.lit(entity).alias("entity"), F.concat_ws(":", *[F.col(k).cast("string") for k in e.key]).alias("source_id"), told)
+            leg = leg.select(*CELL, "_m.measure", "entity", "source_id", "_m.adds")
+            out = leg if out is None else out.unionByName(leg)
+        return out
+
+    def verified(self, traced: DataFrame, metric: str, grain: str = "month") -> DataFrame:
+        """Per cell and measure: source rows, their sum, the reported measure, and whether the two agree."""
+        names = self.metrics[metric].measures
+        reported = self.aggregate(metric, grain).select(*CELL, F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("reported")) for n in names])))
+        sums = traced.groupBy(*CELL, "measure").agg(F.count("*").alias("source_rows"), F.sum("adds").alias("traced"), F.count_distinct("entity").alias("entities"))
+        zero = F.lit(0).cast("bigint")
+        both = reported.join(sums, [*CELL, "measure"], "full_outer")
+        both = both.select(*CELL, "measure", F.coalesce("source_rows", zero).alias("source_rows"), F.coalesce("traced", zero).alias("traced"), "reported")
+        return both.withColumn("agrees", F.col("traced").eqNullSafe(F.col("reported")))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quern.functions.hashing import murmur3
 from quern.functions.scalars import deterministic_id
 from quern.operators import attribution as A
+from quern.operators import ledger as L
 from quern.operators import marts as M
 from quern.operators import sessions as S
 from quern.plans.catalogue import query
 from quern.plans.revenue import total
 from quern.plans.shop import sql, touches
+from quern.session import stored
 
 VISITOR = ["brand_id", "visitor_id"]
 STAGES = ("view", "click", "signup", "purchase")
@@ -302,6 +304,41 @@ def attribution_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credited(spark, sf_dir).select(key.alias("credit_id"), *VISITOR, "event_id", "model", "channel", A.weight_text(F.col("weight")).alias("weight_fraction"), "credit_minor")
 
 
+CHANGED_SQL = JOURNEY_SQL.replace("b.value_minor AS amount_minor", "b.value_minor + CASE WHEN f.visitor_id % 3 = 0 THEN 777 ELSE 0 END AS amount_minor").strip().removeprefix(",")
+
+LEDGER_SQL = JOURNEY_SQL + f"""
+, cc AS (WITH {CHANGED_SQL} SELECT * FROM cr),
+bo AS (SELECT a.brand_id, a.visitor_id, a.event_id, a.model, a.touch_seq, a.credit_minor AS was, b.credit_minor AS now, b.weight, b.amount_minor, a.credit_minor = b.credit_minor AND a.weight = b.weight AS same FROM cr a JOIN cc b USING (brand_id, visitor_id, event_id, model)),
+cl AS (SELECT *, -greatest(0, least(amount_minor // 2, sum(now) OVER (PARTITION BY visitor_id, model))) AS back FROM bo WHERE visitor_id % 5 = 0),
+c3 AS (SELECT *, CAST(abs(back) AS HUGEINT) * weight // 100000000 AS kpart, CAST(abs(back) AS HUGEINT) * weight % 100000000 AS krest FROM cl)
+SELECT visitor_id, event_id, model, 'credit' AS row_kind, CAST(1 AS BIGINT) AS occurrence, was AS credit_minor FROM bo UNION ALL SELECT visitor_id, event_id, model, 'reversal', 1, -was FROM bo WHERE NOT same UNION ALL SELECT visitor_id, event_id, model, 'credit', 2, now FROM bo WHERE NOT same
+UNION ALL SELECT visitor_id, event_id, model, 'clawback', 1, CAST(sign(back) * (kpart + CASE WHEN row_number() OVER (PARTITION BY visitor_id, model ORDER BY krest DESC, touch_seq)
+  <= abs(back) - sum(kpart) OVER (PARTITION BY visitor_id, model) THEN 1 ELSE 0 END) AS BIGINT) FROM c3
+"""
+
+
+@query("g28_credit_ledger", sql(LEDGER_SQL))
+def credit_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G28 as a ledger: a fold, a refold where a third of the journeys changed, the same once more, then refunds, delivered twice."""
+    key = deterministic_id(F.col("brand_id"), F.col("visitor_id"), F.col("event_id"), F.col("model"))
+    columns = [*VISITOR, "touch_seq", "event_id", "channel", "amount_minor", "bought_at"]
+    more = F.col("amount_minor") + F.when(F.col("visitor_id") % 3 == 0, 777).otherwise(0)
+
+    def fold(rows: DataFrame) -> DataFrame:
+        out = A.credits(A.weights(rows.select(*columns), VISITOR, "touch_seq"), VISITOR, "amount_minor", "touch_seq")
+        return out.withColumn("credit_id", key).withColumn("place", F.struct("touch_seq", "event_id")).select(*VISITOR, "model", "place", "credit_id", "weight", "credit_minor")
+
+    base = journeys(spark, sf_dir)
+    changed = base.withColumn("amount_minor", more.cast("bigint"))
+    ledger = stored(fold(base).transform(lambda f: L.refold(L.empty(f, VISITOR, "place"), f, VISITOR, "place")))
+    for again in (changed, changed):
+        ledger = stored(ledger.unionByName(L.refold(ledger, fold(again), VISITOR, "place")))
+    refunds = changed.where(F.col("visitor_id") % 5 == 0).groupBy(*VISITOR).agg(F.expr("first(amount_minor) div 2").alias("refund_minor")).withColumn("refund_id", F.lit("r1"))
+    for _ in range(2):
+        ledger = stored(ledger.unionByName(L.claw_back(ledger, refunds, VISITOR, "place")))
+    return ledger.select("visitor_id", "place.event_id", "model", "row_kind", "occurrence", "credit_minor")
+
+
 @query(
     "g29_marketing_attribution",
     sql(JOURNEY_SQL + "SELECT brand_id, model, channel, CAST(sum(credit_minor) AS BIGINT) AS credit_minor, count(*) AS touches FROM cr GROUP BY 1, 2, 3"),

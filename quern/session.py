@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -63,6 +64,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the cluster's shared checkpoint folder."""
+    stored(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def unsized(df: DataFrame) -> DataFrame:
     """``df``, which should be cut, without its size estimate, for tables that a loop joins again and again.
 
