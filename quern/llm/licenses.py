@@ -72,7 +72,7 @@ def votes(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # lower() agrees with A-Z folding on ASCII words except for the two letters that it maps into ASCII.
-    low = F.when(text.rlike("[İK]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    low = F.when(text.rlike("[\u0130\u212A]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
     words = F.concat(F.array(F.lit("\x00")), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
     each = docs.select("doc_id", F.xxhash64("text").alias("h"), words.alias("words")).select("*", F.posexplode("words").alias("at", "word"))
     second = F.get("words", F.col("at") + 1)
