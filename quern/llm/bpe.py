@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import python_workers
 
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 STEP_PIECES = 5_000
 PAIR_BITS = 20
 KEPT_LENGTH = 48
@@ -137,29 +137,30 @@ class Automaton:
                     ending.append(-1)
             ending[state] = token
         n = len(children)
-        fail, row, longest = [0] * n, [0] * n, ending[:]
+        fail, row, longest = array("i", bytes(4 * n)), array("i", bytes(4 * n)), ending[:]
         self.shorter = np.full(max(tokens) + 1, -1, np.int32)
-        steps = [np.zeros(256, np.int32)]
-        queue = [0]
+        steps = np.zeros((1 + sum(map(bool, children[1:])), 256), np.int32)
+        queue, met = array("i", [0]), 0
         for state in queue:
-            end = fail[state]
+            end, below = fail[state], children[state]
+            children[state] = {}
             if state and ending[state] < 0:
                 longest[state] = longest[end]
             elif state:
                 self.shorter[ending[state]] = longest[end]
             row[state] = row[end]
-            if children[state]:
-                own = steps[row[end]].copy()
-                for b, child in children[state].items():
-                    fail[child] = int(own[b]) if state else 0
-                    own[b] = child
-                    queue.append(child)
-                row[state] = 0 if not state else len(steps)
-                if state:
-                    steps.append(own)
-                else:
-                    steps[0] = own
-        self.step = np.concatenate(steps)
+            if not below:
+                continue
+            if state:
+                met += 1
+                steps[met] = steps[row[end]]
+                row[state] = met
+            own = steps[row[state]]
+            for b, child in below.items():
+                fail[child] = int(own[b]) if state else 0
+                own[b] = child
+                queue.append(child)
+        self.step = steps.reshape(-1)
         self.row = np.array(row, np.int32) * 256
         self.longest = np.array(longest, np.int32)
 
