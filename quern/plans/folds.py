@@ -11,7 +11,7 @@ from quern.plans import journeys as J
 from quern.plans.catalogue import query
 from quern.plans.revenue import states
 from quern.plans.shop import lines, orders, sql, touches
-from quern.session import table
+from quern.session import stored, table
 
 TEXT_TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -200,6 +200,16 @@ def _weight_sql(name: str) -> str:
     return f"CASE WHEN {x} IS NULL OR {y} IS NULL THEN 0.0 {told} END"
 
 
+def visitor_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison features of visitors."""
+    rows = touches(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase", "view")).withColumn("at", F.col("seen_at"))
+    v = F.col("visitor_id")
+    email = F.when((F.col("event_type") == "signup") & (v % 3 != 0), F.concat(F.lit("m"), text(F.expr("visitor_id div 2"))))
+    devices = rows.select("brand_id", v, "at", F.concat(F.lit("ua"), text(v % 4)).alias("ua_class"), F.concat(F.lit("s"), text(F.expr("visitor_id % 6 div 2"))).alias("screen_class"), email.alias("email"))
+    views = rows.where(F.col("event_type") == "view").select("brand_id", v, "at", F.when(F.col("k") % 12 == 0, "").otherwise(F.concat(F.lit("p"), text(F.col("k") % 12))).alias("product"))
+    return P.features(devices, views)
+
+
 @query(
     "s26_probabilistic_stitch",
     sql("""
@@ -213,12 +223,15 @@ SELECT brand_id, visitor_id, arg_min(person, (-confidence, person)) AS person, m
 )
 def probabilistic_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, blocks, comparisons, the floor, pairs with one identified side, the best a visitor."""
-    rows = touches(spark, sf_dir).where(F.col("event_type").isin("signup", "purchase", "view")).withColumn("at", F.col("seen_at"))
-    v = F.col("visitor_id")
-    email = F.when((F.col("event_type") == "signup") & (v % 3 != 0), F.concat(F.lit("m"), text(F.expr("visitor_id div 2"))))
-    devices = rows.select("brand_id", v, "at", F.concat(F.lit("ua"), text(v % 4)).alias("ua_class"), F.concat(F.lit("s"), text(F.expr("visitor_id % 6 div 2"))).alias("screen_class"), email.alias("email"))
-    views = rows.where(F.col("event_type") == "view").select("brand_id", v, "at", F.when(F.col("k") % 12 == 0, "").otherwise(F.concat(F.lit("p"), text(F.col("k") % 12))).alias("product"))
-    return P.stitched(P.features(devices, views))
+    return P.stitched(visitor_features(spark, sf_dir))
+
+
+@query("s26_fitted_model")
+def fitted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S26's model, fitted on all visitors: how often pairs of one person, and pairs at random, are at each level of each comparison."""
+    model = P.fit(stored(visitor_features(spark, sf_dir)))
+    rows = [(c, i, round(m, 9), round(u, 9)) for c, levels in model.items() for i, (m, u) in enumerate(levels)]
+    return spark.createDataFrame(rows, "comparison string, level int, m double, u double")
 
 
 @query(

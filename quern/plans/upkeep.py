@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.scalars import minor
+from quern.operators import costs as C
 from quern.operators import maintenance as X
 from quern.plans.catalogue import query
 from quern.plans.shop import orders, sql, touches
+from quern.session import table
 from quern.sources.vendors import canonical
 
 
@@ -66,3 +69,47 @@ def order_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("terminal_class") == "rto", "RTO_Delivered").when(F.col("terminal_class") == "delivered", " Delivered").otherwise("in transit")
     raw = _payload(rows, moid=F.col("order_id").cast("string"), total=text, customer=F.struct(email.alias("email")), order_status=state)
     return canonical(raw, "gokwik_order").select("brand_id", "order_id", "amount_minor", "email_hash", "terminal_class")
+
+
+def part_sheet(spark: SparkSession, sf_dir: str, number: int, every: int, start: str, end: str | None, share: int) -> DataFrame:
+    """One upload of costs for every so-many-th part."""
+    key = F.col("p_partkey")
+    cost = F.call_function("div", minor(F.col("p_retailprice")) * share, F.lit(100).cast("bigint"))
+    return table(spark, sf_dir, "part").where(key % every == 0).select(
+        F.concat(F.lit("b"), (key % 3).cast("string")).alias("brand_id"), key.alias("sku"), F.lit(start).cast("date").alias("valid_from"), F.lit(end).cast("date").alias("valid_to"), cost.alias("cost_minor"), F.lit(number).alias("upload")
+    )
+
+
+UPLOADS = ((1, 1, "2024-01-01", None, 60), (2, 2, "2024-03-01", "2024-05-01", 70), (3, 3, "2024-02-01", "2024-04-01", 55))
+
+SHEET_SQL = """WITH up(n, every, f, t, share) AS (VALUES (1, 1, DATE '2024-01-01', DATE '9999-12-31', 60), (2, 2, DATE '2024-03-01', DATE '2024-05-01', 70), (3, 3, DATE '2024-02-01', DATE '2024-04-01', 55)),
+sg(a, z) AS (VALUES (DATE '2024-01-01', DATE '2024-02-01'), (DATE '2024-02-01', DATE '2024-03-01'), (DATE '2024-03-01', DATE '2024-04-01'), (DATE '2024-04-01', DATE '2024-05-01'), (DATE '2024-05-01', DATE '9999-12-31')),
+w AS (SELECT p_partkey, a, z, max(n) AS n FROM part JOIN up ON p_partkey % every = 0 JOIN sg ON f <= a AND a < t GROUP BY 1, 2, 3),
+i AS (SELECT *, sum(CASE WHEN n = was THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY a) AS run FROM (SELECT *, lag(n) OVER (PARTITION BY p_partkey ORDER BY a) AS was FROM w)),
+bd AS (SELECT p_partkey, n, min(a) AS valid_from, max(z) AS z FROM i GROUP BY p_partkey, run, n)
+SELECT 'b' || CAST(p_partkey % 3 AS VARCHAR) AS brand_id, p_partkey AS sku, valid_from, CASE WHEN z < DATE '9999-12-31' THEN z END AS valid_to, CAST(round(p_retailprice * 100) AS BIGINT) * share // 100 AS cost_minor, n AS upload
+FROM bd JOIN up USING (n) JOIN part USING (p_partkey)"""
+
+
+@query("q_cost_sheet_corrections", SHEET_SQL)
+def cost_sheet_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cost sheet after three uploads that overlap, one of them a correction in the past: open bands are closed and split."""
+    first, *later = (part_sheet(spark, sf_dir, *u) for u in UPLOADS)
+    for upload in later:
+        first = C.correct(first, upload, ["brand_id", "sku"])
+    return first
+
+
+@query(
+    "q_cost_sheet_refusals",
+    """SELECT 'b' || CAST(p_partkey % 3 AS VARCHAR) AS brand_id, p_partkey AS sku, CASE WHEN p_partkey % 2 = 0 THEN 'overlaps a stored band' ELSE 'taken' END AS outcome,
+  CASE WHEN p_partkey % 2 = 0 THEN 60 ELSE 80 END * CAST(round(p_retailprice * 100) AS BIGINT) // 100 AS cost_minor FROM part""",
+)
+def cost_sheet_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads that overlap are refused, those of a known start restate it: each part's cost afterwards."""
+    key = ["brand_id", "sku"]
+    sheet = part_sheet(spark, sf_dir, 1, 1, "2024-01-01", None, 60)
+    again = part_sheet(spark, sf_dir, 2, 1, "2024-01-01", None, 80).where(F.col("sku") % 2 == 1)
+    clash = part_sheet(spark, sf_dir, 2, 2, "2024-03-01", "2024-05-01", 70)
+    kept, refused = C.refuse_overlaps(sheet, again.unionByName(clash), key)
+    return kept.join(refused.select(*key, "reason"), key, "left").select(*key, F.coalesce("reason", F.lit("taken")).alias("outcome"), "cost_minor")
