@@ -7,8 +7,11 @@ from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from quern.operators.tables import StoredTable
 from quern.operators.upsert import best_by
+from quern.session import stored
 
 
 def dedup_log(log: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:
@@ -36,6 +39,39 @@ def erase(log: DataFrame, subjects: DataFrame, column: str) -> DataFrame:
     return log.join(gone, F.col(column) == F.col("_gone"), "left_anti")
 
 
+def _schema(paths: list[str]) -> StructType:
+    """The structure that holds dotted paths, all strings."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        for name in path.split("."):
+            at = at.setdefault(name, {})
+    made = lambda t: StructType([StructField(n, made(x) if x else StringType()) for n, x in t.items()])
+    return made(tree)
+
+
+def payload_hits(log: DataFrame, subjects: DataFrame, keys: list[str], brand: str, paths: dict[str, list[str]], payload: str = "payload") -> DataFrame:
+    """Keys of the log rows whose payload names a subject (brand_id, kind, value) at any path of its kind, in that tenant.
+
+    A payload is parsed once for all paths; one that can't be parsed names nobody.
+    """
+    every = [p for own in paths.values() for p in own]
+    parsed = log.select(*keys, F.inline(F.array(F.from_json(payload, _schema([brand, *every])))))
+    told = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(p).alias("value")) for kind, own in paths.items() for p in own])
+    named = parsed.select(*keys, F.col(brand).alias("brand_id"), F.inline(told)).where(F.col("value").isNotNull())
+    return named.join(subjects.select("brand_id", "kind", "value").distinct(), ["brand_id", "kind", "value"], "left_semi").select(*keys).distinct()
+
+
+def erase_payloads(table: StoredTable, subjects: DataFrame, brand: str, paths: dict[str, list[str]], payload: str = "payload") -> int:
+    """Drop those rows from a stored log; buckets without any stay as they are. Returns how many were dropped; a rerun drops none."""
+    log = table.read()
+    hits = stored(payload_hits(log, subjects, table.keys, brand, paths, payload))
+    n = hits.count()
+    if n:
+        table.swap(log.limit(0), hits)
+    return n
+
+
 def compact(spark: SparkSession, path: str, target: str, partition_by: list[str], rows_per_file: int = 1_000_000) -> None:
     """Rewrite a table's files, partition by partition, into files of at most ``rows_per_file`` rows.
 

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import stored
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``; ``order`` must end in something unique."""
@@ -19,9 +21,9 @@ def best_by(df: DataFrame, keys: list[str], rank: Column, columns: list[str]) ->
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("_b")).select(*keys, "_b.*")
 
 
-def evolve(df: DataFrame, stored: DataFrame) -> DataFrame:
+def evolve(df: DataFrame, old: DataFrame) -> DataFrame:
     """``df`` with the stored table's columns (null where new rows lack them) and any columns of its own."""
-    return stored.limit(0).unionByName(df, allowMissingColumns=True)
+    return old.limit(0).unionByName(df, allowMissingColumns=True)
 
 
 def merge_on_key(old: DataFrame, staged: DataFrame, keys: list[str], order: list[Column], shed: bool = False) -> DataFrame:
@@ -83,6 +85,41 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def ranked(df: DataFrame, keys: list[str], rank: str = "_rank") -> DataFrame:
+    """Rows with their 0-based place in the order of ``keys``, which tell rows apart: dealt by range and sorted in their part, not in one task."""
+    part = F.shiftright("_at", 33)
+    at = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    starts = at.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(rank, place).drop("_p", "_at", "_start")
+
+
+def ordered_digest(df: DataFrame, keys: list[str], columns: list[str], fan: int = 4096) -> str | None:
+    """MD5 of the rows in the order of ``keys``: of their texts (columns joined by |, a row a line) for up to ``fan`` rows.
+
+    Beyond, it is a tree: the digests of runs of ``fan`` rows are digested in turn, so no task sees more than ``fan``
+    of them. Equal digests mean equal rows in an equal order. None for an empty table. Null values leave their place out, as ``concat_ws`` does.
+    """
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    level = ranked(df.select(*keys, line.alias("_text")), keys).select("_rank", "_text")
+    while True:
+        run = F.floor(F.col("_rank") / fan).cast("bigint")
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), lambda x: x["_text"])
+        level = stored(level.groupBy(run.alias("_run")).agg(F.md5(F.array_join(texts, "\n")).alias("_text")).withColumnRenamed("_run", "_rank"))
+        found = level.limit(2).collect()
+        if len(found) < 2:
+            return found[0]["_text"] if found else None
+
+
+def ordered_parity(left: DataFrame, right: DataFrame, keys: list[str], fan: int = 4096) -> DataFrame:
+    """``parity``, and each side's ordered digest over the keys that both have."""
+    columns = [*keys, *[c for c in left.columns if c not in keys]]
+    shared = lambda a, b: ordered_digest(a.join(b.select(*keys), keys, "left_semi"), keys, columns, fan)
+    a, b = shared(left, right), shared(right, left)
+    return parity(left, right, keys).select("*", F.lit(a).cast("string").alias("left_digest"), F.lit(b).cast("string").alias("right_digest"), F.lit(a == b).alias("same_order"))
+
+
 def snapshot(history: DataFrame, today: DataFrame, date: str, column: str = "snapshot_date") -> DataFrame:
     """History with today's state appended under its date; a rerun replaces the date's rows."""
     kept = history.where(F.col(column) != F.lit(date).cast("date"))

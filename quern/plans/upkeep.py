@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quern.functions.scalars import minor
 from quern.operators import costs as C
 from quern.operators import maintenance as X
+from quern.operators import upsert as U
+from quern.operators.tables import StoredTable
 from quern.plans.catalogue import query
 from quern.plans.shop import orders, sql, touches
-from quern.session import table
+from quern.session import scratch, table
 from quern.sources.vendors import canonical
 
 
@@ -113,3 +115,49 @@ def cost_sheet_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     clash = part_sheet(spark, sf_dir, 2, 2, "2024-03-01", "2024-05-01", 70)
     kept, refused = C.refuse_overlaps(sheet, again.unionByName(clash), key)
     return kept.join(refused.select(*key, "reason"), key, "left").select(*key, F.coalesce("reason", F.lit("taken")).alias("outcome"), "cost_minor")
+
+
+@query(
+    "f11_ordered_parity",
+    sql("""
+, rt AS (SELECT order_id, CASE WHEN order_id % 1000 <> 7 THEN amount_minor END AS amount_minor FROM o WHERE NOT is_cancelled),
+lt AS (SELECT order_id, amount_minor FROM o WHERE order_id % 3 <> 0),
+dl AS (SELECT concat_ws('|', CAST(order_id AS VARCHAR), CAST(amount_minor AS VARCHAR)) AS t, (row_number() OVER (ORDER BY order_id) - 1) // 4096 AS c, order_id FROM lt WHERE order_id IN (SELECT order_id FROM rt)),
+dr AS (SELECT concat_ws('|', CAST(order_id AS VARCHAR), CAST(amount_minor AS VARCHAR)) AS t, (row_number() OVER (ORDER BY order_id) - 1) // 4096 AS c, order_id FROM rt WHERE order_id IN (SELECT order_id FROM lt)),
+ml AS (SELECT c, md5(string_agg(t, chr(10) ORDER BY order_id)) AS d FROM dl GROUP BY 1), mr AS (SELECT c, md5(string_agg(t, chr(10) ORDER BY order_id)) AS d FROM dr GROUP BY 1),
+xl AS (SELECT CASE WHEN count(*) = 1 THEN min(d) ELSE md5(string_agg(d, chr(10) ORDER BY c)) END AS d FROM ml), xr AS (SELECT CASE WHEN count(*) = 1 THEN min(d) ELSE md5(string_agg(d, chr(10) ORDER BY c)) END AS d FROM mr)
+SELECT count(*) FILTER (rt.order_id IS NULL) AS only_left, count(*) FILTER (lt.order_id IS NULL) AS only_right, count(*) FILTER (lt.order_id = rt.order_id AND lt.amount_minor IS DISTINCT FROM rt.amount_minor) AS different,
+  count(*) FILTER (lt.order_id = rt.order_id AND lt.amount_minor IS NOT DISTINCT FROM rt.amount_minor) AS equal, (SELECT d FROM xl) AS left_digest, (SELECT d FROM xr) AS right_digest, (SELECT d FROM xl) = (SELECT d FROM xr) AS same_order
+FROM lt FULL OUTER JOIN rt ON lt.order_id = rt.order_id"""),
+)
+def ordered_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F11 with digests of both sides in key order over the keys they share."""
+    o = orders(spark, sf_dir)
+    right = o.where(~F.col("is_cancelled")).select("order_id", F.when(F.col("order_id") % 1000 != 7, F.col("amount_minor")).alias("amount_minor"))
+    return U.ordered_parity(o.where(F.col("order_id") % 3 != 0).select("order_id", "amount_minor"), right, ["order_id"])
+
+
+@query(
+    "x_erasure_by_path",
+    sql("SELECT event_id FROM e WHERE NOT coalesce(visitor_id % 10 = 3 AND k % 2 = 0, false) AND NOT coalesce(visitor_id % 10 = 4 AND k % 3 = 0, false) AND NOT coalesce(visitor_id % 7 = 5 AND event_type = 'view', false)"),
+)
+def erasure_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw log after subjects were erased whom its payloads name at several paths; run twice."""
+    v, mark = F.col("visitor_id"), lambda p, on: F.when(on, F.concat(F.lit(p), F.col("visitor_id").cast("string")))
+    rows = touches(spark, sf_dir)
+    envelope = F.struct(
+        "brand_id", mark("h", F.col("k") % 2 == 0).alias("hashed_user_id"),
+        F.struct(mark("h", F.col("k") % 3 == 0).alias("hashed_email"), mark("a", F.col("event_type") == "view").alias("anon_id")).alias("properties"),
+    )
+    log = rows.select("event_id", F.to_json(envelope).alias("payload"))
+    people = rows.select("brand_id", v).distinct()
+    named = lambda kind, p, on: people.where(on).select("brand_id", F.lit(kind).alias("kind"), F.concat(F.lit(p), v.cast("string")).alias("value"))
+    # Of ten visitors one is named by user id alone, one by mail alone: paths of a kind are alike, so each is given where it can be met.
+    subjects = named("user", "h", v % 10 == 3).unionByName(named("mail", "h", v % 10 == 4)).unionByName(named("anon", "a", v % 7 == 5))
+    held = StoredTable(spark, scratch(spark, "log"), ["event_id"], 8)
+    held.replace(log)
+    paths = {"user": ["hashed_user_id"], "mail": ["properties.hashed_email"], "anon": ["properties.anon_id"]}
+    X.erase_payloads(held, subjects, "brand_id", paths)
+    if X.erase_payloads(held, subjects, "brand_id", paths):
+        raise AssertionError("a second run erased more")
+    return held.read().select("event_id")
