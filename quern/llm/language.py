@@ -3,7 +3,9 @@
 The kernel of two texts is the number of n-grams (1 to ``spectrum`` UTF-8 bytes of lower-cased
 letters, all else one space) that occur in both, over the root of what each has: k(s,t) / sqrt(k(s,s)
 k(t,t)). A bounded sample of each language (``quota`` texts, by a 64-bit hash of doc_id and text, and
-``MOST_ROWS`` of all together) trains the model, some of them as landmarks. With K the landmarks' kernel matrix, texts map to rows of K^-1/2, in which
+``MOST_ROWS`` of all together, with about ``MOST_CODES`` n-grams) trains the model, some of them as landmarks: ``ALL_LANDMARKS``
+at most, dealt alike to the languages. With very many languages the model keeps the n-grams that most landmarks have, so that
+n-grams times languages stay below ``MODEL_CELLS``. With K the landmarks' kernel matrix, texts map to rows of K^-1/2, in which
 one-versus-rest kernel ridge regression is a linear solve. Scores of a batch are the product of
 its presence matrix (sparse) with the landmarks' matrix and the regression's, multiplied beforehand.
 
@@ -30,6 +32,10 @@ QUOTA = 500
 LANDMARKS = 60
 SPECTRUM = 3
 MOST_ROWS = 20_000
+MOST_CODES = 8_000_000  # n-gram codes of the sample
+ALL_LANDMARKS = 600
+MODEL_CELLS = 24_000_000  # n-grams times languages of the model
+LANDMARK_BLOCK = 64
 RIDGE = 1e-3
 
 _U = np.uint64
@@ -81,17 +87,26 @@ def fit(grams_of: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS
     y = np.array([names.index(x) for x in langs])
     text, code = np.repeat(np.arange(len(y)), [len(g) for g in grams_of]), np.concatenate(grams_of).astype(np.uint64)
     own = np.maximum(np.bincount(text, minlength=len(y)), 1)
-    chosen = np.concatenate([np.flatnonzero(y == c)[:landmarks] for c in range(len(names))])
+    per = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
+    chosen = np.concatenate([np.flatnonzero(y == c)[:per] for c in range(len(names))])[:ALL_LANDMARKS]
     place = np.full(len(y), -1)
     place[chosen] = np.arange(len(chosen))
     mine = place[text] >= 0
-    grams = np.unique(code[mine])
-    has = np.zeros((len(grams), len(chosen)))
-    has[np.searchsorted(grams, code[mine]), place[text[mine]]] = 1
-    has /= np.sqrt(own[chosen])
+    grams, often = np.unique(code[mine], return_counts=True)
+    most = max(1, MODEL_CELLS // len(names))
+    if len(grams) > most:
+        grams = np.sort(grams[np.lexsort((grams, -often))[:most]])
     at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
     known = grams[at] == code
-    kernel = _gather(has, text[known], at[known], len(y)) / np.sqrt(own)[:, None]
+    mark, gram = place[text[known & mine]], at[known & mine]  # which landmark has which n-gram
+    kernel = np.empty((len(y), len(chosen)))
+    for low in range(0, len(chosen), LANDMARK_BLOCK):
+        high = min(low + LANDMARK_BLOCK, len(chosen))
+        here = (mark >= low) & (mark < high)
+        has = np.zeros((len(grams), high - low))
+        has[gram[here], mark[here] - low] = 1
+        has /= np.sqrt(own[chosen[low:high]])
+        kernel[:, low:high] = _gather(has, text[known], at[known], len(y)) / np.sqrt(own)[:, None]
     values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
@@ -100,7 +115,8 @@ def fit(grams_of: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     weighted = phi * share[:, None]
     solved = np.linalg.solve(phi.T @ weighted + ridge * len(y) * np.eye(phi.shape[1]), weighted.T @ target)
-    return names, grams, has @ (root @ solved)
+    order = np.argsort(gram, kind="stable")
+    return names, grams, _gather((root @ solved) / np.sqrt(own[chosen])[:, None], gram[order], mark[order], len(grams))
 
 
 def _predicted(model):
@@ -147,7 +163,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, quota: int = QUOTA, landmarks: int = LANDMARKS, most: int = MOST_ROWS):
     """The model of the rows that aren't held out; languages are counted over all rows, then sampled.
 
-    A language has ``quota`` rows in expectation, and all together at most ``most``. Texts come to the driver as sets of n-gram codes.
+    A language has ``quota`` rows in expectation, and all together at most ``most``, with about ``MOST_CODES`` n-grams. Texts come to the driver as sets of n-gram codes.
     """
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = cut(rows.groupBy("lang").agg(F.count("*").alias("_n")))
@@ -155,7 +171,10 @@ def train(docs: DataFrame, quota: int = QUOTA, landmarks: int = LANDMARKS, most:
     share = counts.select("lang", (F.lit(float(each)) / F.col("_n")).alias("share"))
     place = unit(F.xxhash64(F.lit(3), "doc_id", "text"))
     picked = lookup(rows.select("lang", "text", place.alias("u")), share, ["lang"], "inner").where(F.col("u") < F.col("share"))
-    coded = picked.select("u", "lang", "text").mapInArrow(_coded, "u double, lang string, grams array<bigint>")
+    coded = cut(picked.select("u", "lang", "text").mapInArrow(_coded, "u double, lang string, grams array<bigint>"))
+    codes = coded.agg(F.sum(F.size("grams"))).first()[0] or 0
+    if codes > MOST_CODES:
+        coded = coded.where(unit(F.xxhash64(F.lit(4), "u", "lang")) < MOST_CODES / codes)
     got = coded.orderBy("u", "lang").limit(most).toPandas()
     return fit([np.asarray(g, np.int64) for g in got["grams"]], got["lang"].tolist(), landmarks)
 
