@@ -113,12 +113,16 @@ def customer_nodes(raw: DataFrame) -> DataFrame:
     return rows.groupBy("brand_id", "profile_id").agg(F.max_by(F.struct(*columns), F.struct(*rank)).alias("_b")).select("brand_id", "profile_id", "_b.*")
 
 
-def customers(order_states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Orders of each known profile rolled up, with the time at which it was first identified unless it was merged away."""
+def customers(order_states: DataFrame, nodes: DataFrame, ingested: str | None = None) -> DataFrame:
+    """Orders of each known profile rolled up, with the time at which it was first identified unless it was merged away.
+
+    ``ingested`` names the column whose latest value is the customer's watermark.
+    """
     keys = ["brand_id", "profile_id"]
+    mark = [F.max(ingested).alias("customer_watermark")] if ingested else []
     rolled = order_states.where(F.col("profile_id").isNotNull()).groupBy(*keys).agg(
         F.count("order_id").alias("lifetime_orders"), F.sum("amount_minor").cast(BIG).alias("lifetime_value_minor"), F.max("currency_code").alias("currency_code"),
-        F.min("placed_at").alias("first_seen_at"), F.max("last_at").alias("last_seen_at"),
+        F.min("placed_at").alias("first_seen_at"), F.max("last_at").alias("last_seen_at"), *mark,
     )
     live = nodes.where(F.col("lifecycle_state") != "merged").select(*keys, "first_identified_at")
     return rolled.join(live, keys, "left")

@@ -187,7 +187,7 @@ def rfm_columns() -> list[Column]:
     return [
         _score(F.col("recency_days"), [30, 60, 90, 180], True).alias("recency_score"),
         _score(F.col("orders"), [2, 3, 5, 10], False).alias("frequency_score"),
-        _score(F.col("value_minor"), [100_000, 1_000_000, 5_000_000, 10_000_000], False).alias("monetary_score"),
+        _score(F.col("value_minor"), [200_000, 1_000_000, 5_000_000, 10_000_000], False).alias("monetary_score"),
     ]
 
 
@@ -195,7 +195,7 @@ def rfm_columns() -> list[Column]:
     "g17_rfm_scores",
     sql("""SELECT brand_id, customer_id, CASE WHEN recency_days <= 30 THEN 5 WHEN recency_days <= 60 THEN 4 WHEN recency_days <= 90 THEN 3 WHEN recency_days <= 180 THEN 2 ELSE 1 END AS recency_score,
   CASE WHEN orders >= 10 THEN 5 WHEN orders >= 5 THEN 4 WHEN orders >= 3 THEN 3 WHEN orders >= 2 THEN 2 ELSE 1 END AS frequency_score,
-  CASE WHEN value_minor >= 10000000 THEN 5 WHEN value_minor >= 5000000 THEN 4 WHEN value_minor >= 1000000 THEN 3 WHEN value_minor >= 100000 THEN 2 ELSE 1 END AS monetary_score FROM cf"""),
+  CASE WHEN value_minor >= 10000000 THEN 5 WHEN value_minor >= 5000000 THEN 4 WHEN value_minor >= 1000000 THEN 3 WHEN value_minor >= 200000 THEN 2 ELSE 1 END AS monetary_score FROM cf"""),
 )
 def rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency and monetary scores from 1 to 5."""
