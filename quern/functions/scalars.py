@@ -186,7 +186,11 @@ def deterministic_id(*parts: Column) -> Column:
 
 def uuid_of(*parts: Column) -> Column:
     """A version-5-shaped UUID from the parts' digest."""
-    h = deterministic_id(*parts)
+    return uuid_shaped(deterministic_id(*parts))
+
+
+def uuid_shaped(h: Column) -> Column:
+    """The first half of a hex digest in the shape of a version 5 UUID."""
     cut = lambda a, n: F.substring(h, a, n)
     variant = F.element_at(F.array(*[F.lit(c) for c in "89ab"]), F.conv(cut(17, 1), 16, 10).cast("int") % 4 + 1)
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))

@@ -146,3 +146,23 @@ def session_winners(lanes: DataFrame, mapping: DataFrame, recency_days: int = 90
     strong = F.get("_s", F.lit(0))
     winner = F.when((F.size("_s") == 1) & ((F.size("_a") == 0) | F.array_contains("_a", strong)), strong).when((F.size("_s") == 0) & (F.size("_a") == 1), F.get("_a", F.lit(0)))
     return each.select("brand_id", "session_id", winner.alias("profile_id"), F.array_join("matched_via", ",").alias("matched_via")).where(F.col("profile_id").isNotNull())
+
+
+# States of a pixel's payment events.
+PIXEL_PAYMENTS = (("payment.initiated", "initiated"), ("payment.succeeded", "succeeded"), ("payment.failed", "failed"))
+
+
+def payments(pixel: DataFrame, connector: DataFrame, webhook: DataFrame) -> DataFrame:
+    """Payments of three lanes, one row an event: the latest version, whose whole content is the last key.
+
+    ``pixel`` names its state by event_type and needs no amount; ``connector`` rows count if their entity_type is order_paid
+    or payment_authorized; ``webhook`` rows bring payment_status. Money lanes need a positive amount.
+    """
+    shared = ["brand_id", "event_id", "source", "payment_status", "order_id", "payment_id_hash", "amount_minor", "currency_code", "occurred_at"]
+    state = F.coalesce(*[F.when(F.col("event_type") == n, s) for n, s in PIXEL_PAYMENTS], F.lit("unknown"))
+    seen = pixel.withColumn("source", F.lit("pixel")).withColumn("payment_status", state).withColumn("payment_id_hash", F.lit(None).cast("string"))
+    told = connector.where(F.col("entity_type").isin("order_paid", "payment_authorized")).withColumn("payment_status", F.when(F.col("entity_type") == "order_paid", "paid").otherwise("authorized"))
+    money = told.select(*shared).unionByName(webhook.select(*shared)).where(F.col("amount_minor") > 0)
+    rows = seen.select(*shared).unionByName(money).where(F.col("brand_id").isNotNull() & F.col("event_id").isNotNull())
+    content = [c for c in shared if c not in ("brand_id", "event_id", "occurred_at")]
+    return rows.groupBy("brand_id", "event_id").agg(F.max_by(F.struct(*content, "occurred_at"), F.struct("occurred_at", *content)).alias("_b")).select("brand_id", "event_id", "_b.*")
