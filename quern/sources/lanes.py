@@ -59,9 +59,14 @@ CREDITS = ("dispute.won", "dispute.closed")
 DISPUTES = ("dispute.created", "dispute.under_review", "dispute.action_required", "dispute.lost", *CREDITS)
 
 
-def parsed(raw: DataFrame, payload: str, schema: str = "map<string,string>") -> DataFrame:
-    """``raw`` with its payload parsed once, as ``_r``; null where it isn't JSON of that form."""
-    return raw.select("*", F.inline(F.array(F.struct(F.from_json(payload, schema).alias("_r")))))
+def parsed(raw: DataFrame, payload: str, schema: str = "map<string,string>", **picked: Column) -> DataFrame:
+    """``raw`` with its payload parsed once, as ``_r``, null where it isn't JSON of that form; ``picked`` are columns of their own.
+
+    Expressions that a lane uses more than once are picked, behind a generator of their own, so that each is reckoned
+    once a row and filters hold short conditions.
+    """
+    rows = raw.select("*", F.inline(F.array(F.struct(F.from_json(payload, schema).alias("_r")))))
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in picked.items()])))) if picked else rows
 
 
 def first_of(*keys: str) -> Column:
@@ -147,12 +152,14 @@ def payment_webhooks(raw: DataFrame, salt: str = "", payload: str = "payload", e
         None,
     )
     at = lambda k: F.try_element_at("_r", F.lit(k))
-    own, pays, refund, dispute = first_of("id"), kind.startswith("payment_"), kind == "refund", kind == "dispute"
-    payment = F.when(pays, own).when(refund | dispute, first_of("payment_id"))
-    lifted = parsed(raw, payload)
-    occurred = F.coalesce(F.when(refund, moment(at("processed_at"))), moment(at("created_at")))
-    held = at("amount")
-    amount = F.when(held.isNull(), 0).otherwise(whole_minor(held))
+    lifted = parsed(
+        raw, payload, _kind=kind, _short=short, _own=first_of("id"), _pay=first_of("payment_id"), _made=moment(at("created_at")), _done=moment(at("processed_at")),
+        _amount=F.when(at("amount").isNull(), 0).otherwise(whole_minor(at("amount"))),
+    )
+    kind, short, own, amount = (F.col(c) for c in ("_kind", "_short", "_own", "_amount"))
+    pays, refund, dispute = kind.startswith("payment_"), kind == "refund", kind == "dispute"
+    payment = F.when(pays, own).when(refund | dispute, F.col("_pay"))
+    occurred = F.coalesce(F.when(refund, F.col("_done")), F.col("_made"))
     settled = kind.isin("payment_captured", "payment_failed")
     return lifted.select(
         "brand_id", F.lit("settlement.live.v1").alias("event_name"), event_id(F.col("brand_id"), F.col(webhook), kind, "settlement.webhook.v1").alias("event_id"), kind.alias("entity_type"), occurred.alias("occurred_at"),
@@ -171,15 +178,18 @@ def _checkout_name(vendor: str, kind: Column) -> Column:
 
 def checkouts(raw: DataFrame, vendor: str, salt: str = "", payload: str = "payload", kind: str = "kind") -> DataFrame:
     """Checkout events: abandoned, started, step (and completed); an amount that can't be read is null."""
-    keys, name, record = VENDORS[vendor], _checkout_name(vendor, F.col(kind)), first_of
-    checkout, occurred = record(*keys["checkout_id"]), F.try_to_timestamp(record(*keys["occurred"]))
+    keys, record = VENDORS[vendor], first_of
+    rows = parsed(
+        raw, payload, _name=_checkout_name(vendor, F.col(kind)), _checkout=record(*keys["checkout_id"]), _at=F.try_to_timestamp(record(*keys["occurred"])), _email=record(*keys["email"]), _phone=record(*keys["phone"])
+    )
+    name, checkout, occurred = F.col("_name"), F.col("_checkout"), F.col("_at")
     address = F.coalesce(F.coalesce(F.try_element_at("_r", F.lit("has_address")), F.try_element_at("_r", F.lit("address_present"))) == "true", F.lit(False)) | record(*ADDRESS).isNotNull()
     minor = lambda names: F.coalesce(*[exact_minor(record(k)) for k in names]) if vendor == "shopflo" else exact_minor(record(*names))
-    return parsed(raw, payload).select(
+    return rows.select(
         "brand_id", name.alias("event_name"), event_id(F.col("brand_id"), checkout, F.unix_millis(occurred), name).alias("event_id"), occurred.alias("occurred_at"), F.lit(vendor).alias("source"),
         F.coalesce(record(*keys["order_id"]), checkout).alias("order_id"), minor(keys["cart"]).alias("total_price_minor"), minor(keys["discount"]).alias("total_discount_minor"), currency().alias("currency_code"),
-        address.alias("has_address"), F.when(F.col(kind) == "step", record(*STEP)).alias("step_name"), identifier_hash(salt, "email", normal_email(record(*keys["email"]))).alias("email_hash"),
-        identifier_hash(salt, "phone", normal_phone(record(*keys["phone"]))).alias("phone_hash"), record(*keys["customer"]).alias("storefront_customer_id"),
+        address.alias("has_address"), F.when(F.col(kind) == "step", record(*STEP)).alias("step_name"), identifier_hash(salt, "email", normal_email(F.col("_email"))).alias("email_hash"),
+        identifier_hash(salt, "phone", normal_phone(F.col("_phone"))).alias("phone_hash"), record(*keys["customer"]).alias("storefront_customer_id"),
         _reasons((name.isNull(), "kind not known"), (checkout.isNull(), "checkout id missing"), (occurred.isNull(), "time missing")),
     )
 
@@ -190,10 +200,11 @@ def payments(raw: DataFrame, vendor: str, salt: str = "", payload: str = "payloa
     name = F.when(F.col(kind) == "authorized", "payment.authorized.v1").when(F.col(kind) == "attempted", "payment.attempted.v1")
     told = F.lower(F.coalesce(F.try_element_at("_r", F.lit("payment_status")), F.try_element_at("_r", F.lit("status")), F.lit("")))
     state = F.when(F.col(kind) == "authorized", "authorized").when(told.rlike(FAILED[vendor]), "failed").otherwise("initiated")
-    order, payment, occurred = first_of(*keys["order_id"]), first_of(*keys["payment_id"]), F.try_to_timestamp(first_of(*keys["occurred"]))
+    rows = parsed(raw, payload, _name=name, _state=state, _order=first_of(*keys["order_id"]), _pay=first_of(*keys["payment_id"]), _at=F.try_to_timestamp(first_of(*keys["occurred"])))
+    name, state, order, payment, occurred = (F.col(c) for c in ("_name", "_state", "_order", "_pay", "_at"))
     amount = F.coalesce(*[exact_minor(first_of(k)) for k in keys["amount"]]) if vendor == "shopflo" else exact_minor(first_of(*keys["amount"]))
     identity = F.coalesce(payment, F.concat(F.lit("na:"), state))
-    return parsed(raw, payload).select(
+    return rows.select(
         "brand_id", name.alias("event_name"), event_id(F.col("brand_id"), order, identity, F.unix_millis(occurred), name).alias("event_id"), occurred.alias("occurred_at"), F.lit(vendor).alias("source"), order.alias("order_id"),
         state.alias("payment_status"), secret_hash(payment, salt).alias("payment_id_hash"), amount.alias("amount_minor"), currency().alias("currency_code"),
         _reasons((name.isNull(), "kind not known"), (order.isNull(), "order id missing"), (occurred.isNull(), "time missing")),
@@ -203,9 +214,10 @@ def payments(raw: DataFrame, vendor: str, salt: str = "", payload: str = "payloa
 def refunds(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Refunds of a checkout vendor: one id a refund, whenever it is told; without an amount, 0."""
     keys = SHOPFLO
-    refund, occurred = first_of(*keys["refund_id"]), F.try_to_timestamp(first_of(*keys["occurred"]))
+    rows = parsed(raw, payload, _refund=first_of(*keys["refund_id"]), _at=F.try_to_timestamp(first_of(*keys["occurred"])))
+    refund, occurred = F.col("_refund"), F.col("_at")
     amount = F.coalesce(*[exact_minor(first_of(k)) for k in keys["refunded"]], F.lit(0).cast("bigint"))
-    return parsed(raw, payload).select(
+    return rows.select(
         "brand_id", F.lit("refund.recorded.v1").alias("event_name"), event_id(F.col("brand_id"), refund, "refund.recorded.v1").alias("event_id"), occurred.alias("occurred_at"), refund.alias("refund_id"),
         first_of(*keys["order_id"]).alias("order_id"), amount.alias("amount_minor"), F.upper(first_of(*CURRENCY)).alias("currency_code"), first_of("reason", "note").alias("reason"),
         _reasons((refund.isNull(), "refund id missing"), (occurred.isNull(), "time missing")),
@@ -214,10 +226,10 @@ def refunds(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 def risk_predictions(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """Predictions of returns to origin; the request names the event, or else its time does."""
-    order, request, told = first_of("order_id"), first_of("request_id"), first_of("risk_flag")
-    occurred = F.try_to_timestamp(first_of("occurred_at"))
+    rows = parsed(raw, payload, _order=first_of("order_id"), _request=first_of("request_id"), _flag=first_of("risk_flag"), _at=F.try_to_timestamp(first_of("occurred_at")))
+    order, request, told, occurred = (F.col(c) for c in ("_order", "_request", "_flag", "_at"))
     seed = F.coalesce(request, F.date_format(occurred, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
-    return parsed(raw, payload).select(
+    return rows.select(
         "brand_id", F.lit("gokwik.rto_predict.v1").alias("event_name"), event_id(F.col("brand_id"), order, seed, "gokwik.rto_predict.v1").alias("event_id"), occurred.alias("occurred_at"), order.alias("order_id"),
         request.alias("request_id"), risk_flag(told).alias("risk_flag"), told.alias("risk_flag_raw"), first_of("risk_reason").alias("risk_reason"),
         _reasons((order.isNull(), "order id missing"), (seed.isNull(), "neither request nor time")),
@@ -226,13 +238,16 @@ def risk_predictions(raw: DataFrame, payload: str = "payload") -> DataFrame:
 
 def return_states(raw: DataFrame, salt: str = "", payload: str = "payload") -> DataFrame:
     """A carrier's return states, by the ladder of returns and never that of deliveries."""
-    order, awb, status = first_of("order_id"), first_of("awb"), F.coalesce(first_of("status"), F.lit(""))
-    changed, method = F.try_to_timestamp(first_of("status_changed_at")), F.lower(F.coalesce(first_of("payment_method"), F.lit("")))
+    status = F.coalesce(first_of("status"), F.lit(""))
+    rows = parsed(
+        raw, payload, _order=first_of("order_id"), _awb=first_of("awb"), _status=status, _class=return_class(status), _at=F.try_to_timestamp(first_of("status_changed_at")), _method=F.lower(F.coalesce(first_of("payment_method"), F.lit("")))
+    )
+    order, awb, status, kind, changed, method = (F.col(c) for c in ("_order", "_awb", "_status", "_class", "_at", "_method"))
     paid = F.when(method.isin("cod", "cash_on_delivery", "cash on delivery"), "cod").when(method.isin("prepaid", "online", "paid"), "prepaid")
     time = F.date_format(changed, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return parsed(raw, payload).select(
+    return rows.select(
         "brand_id", F.lit("shiprocket.return_status.v1").alias("event_name"), event_id(F.col("brand_id"), F.coalesce(awb, F.lit("")), status, time, "shiprocket.return_status.v1").alias("event_id"), changed.alias("occurred_at"),
-        secret_hash(awb, salt).alias("awb_hash"), order.alias("order_id"), status.alias("status"), return_class(status).alias("return_class"), (return_class(status) == "return_completed").alias("is_return_complete"),
+        secret_hash(awb, salt).alias("awb_hash"), order.alias("order_id"), status.alias("status"), kind.alias("return_class"), (kind == "return_completed").alias("is_return_complete"),
         paid.alias("payment_method"), first_of("pincode").alias("pincode"), first_of("courier").alias("courier"), _reasons((order.isNull(), "order id missing"), (changed.isNull(), "time missing")),
     )
 
@@ -272,8 +287,9 @@ def storefront_orders(raw: DataFrame, payload: str = "payload", visitor: str = "
     named = F.exists(F.coalesce(r["payment_gateway_names"], F.array().cast("array<string>")), lambda n: any_of([F.lower(n).contains(s) for s in ("cash on delivery", "cod", "pay on delivery", "manual")]))
     cod = gate.isin("cash_on_delivery", "cod", "cash", "pay_on_delivery") | F.coalesce(named, F.lit(False)) | F.coalesce(F.lower(r["financial_status"]) == "pending", F.lit(False))
     attribute = lambda n: F.get(F.transform(F.filter(r["note_attributes"], lambda a: (a["name"] == n) & (a["value"] != "")), lambda a: a["value"]), F.lit(0))
-    amount, occurred = exact_minor(r["current_total_price"]), F.try_to_timestamp(r["updated_at"])
-    return parsed(raw, payload, ORDER).select(
+    rows = parsed(raw, payload, ORDER, _amount=exact_minor(r["current_total_price"]), _at=F.try_to_timestamp(r["updated_at"]), _back=back, _shipping=shipping, _cod=cod)
+    amount, occurred, back, shipping, cod = (F.col(c) for c in ("_amount", "_at", "_back", "_shipping", "_cod"))
+    return rows.select(
         "brand_id", F.lit("order.live.v1").alias("event_name"), event_id(F.col("brand_id"), r["id"], F.unix_millis(occurred), "order.live.v1").alias("event_id"), occurred.alias("occurred_at"), r["id"].alias("order_id"), amount.alias("amount_minor"),
         r["currency"].alias("currency_code"), F.when(cod, "cod").otherwise("prepaid").alias("payment_method"), items.alias("line_items"), exact_minor(r["total_tax"]).alias("tax_total_minor"), F.when(F.size(shipping) > 0, _sum(shipping)).alias("shipping_total_minor"),
         exact_minor(r["total_discounts"]).alias("discount_total_minor"), codes.alias("discount_codes"), back.alias("refunds"), F.when(back.isNotNull(), _sum(F.transform(back, lambda x: x["amount_minor"]))).alias("refund_total_minor"),
