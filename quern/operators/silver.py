@@ -166,3 +166,34 @@ def payments(pixel: DataFrame, connector: DataFrame, webhook: DataFrame) -> Data
     rows = seen.select(*shared).unionByName(money).where(F.col("brand_id").isNotNull() & F.col("event_id").isNotNull())
     content = [c for c in shared if c not in ("brand_id", "event_id", "occurred_at")]
     return rows.groupBy("brand_id", "event_id").agg(F.max_by(F.struct(*content, "occurred_at"), F.struct("occurred_at", *content)).alias("_b")).select("brand_id", "event_id", "_b.*")
+
+
+# Fields of a spend event, by type.
+SPEND_TEXTS = ("platform", "level", "level_id", "parent_id", "campaign_id", "campaign_name", "currency_code", "advertising_channel_type", "breakdown_key", "quality_ranking", "engagement_rate_ranking", "conversion_rate_ranking", "account_timezone")
+SPEND_COUNTS = (
+    "conversions", "all_conversions", "conv_value_minor", "view_through_conversions", "cpc_minor", "cpm_minor", "video_views", "reach", "cpp_minor", "unique_clicks", "inline_link_clicks", "outbound_clicks", "unique_outbound_clicks",
+    "cost_per_unique_click_minor", "cost_per_inline_link_click_minor", "landing_page_views", "post_engagement", "page_engagement", "inline_post_engagement", "video_p25_watched", "video_p50_watched", "video_p75_watched", "video_p100_watched",
+    "video_thruplay_watched", "video_30_sec_watched", "video_avg_time_watched_secs", "engagements", "cost_per_conversion_minor", "value_per_conversion_minor", "all_conversions_value_minor", "cost_per_all_conversions_minor", "average_cost_minor", "interactions",
+)
+SPEND_RATIOS = (
+    "ctr", "frequency", "unique_ctr", "inline_link_click_ctr", "purchase_roas_ratio", "website_purchase_roas_ratio", "mobile_app_purchase_roas_ratio", "video_view_rate", "engagement_rate", "search_impression_share", "search_budget_lost_impression_share",
+    "search_rank_lost_impression_share", "absolute_top_impression_percentage", "top_impression_percentage", "interaction_rate", "conversions_from_interactions_rate",
+)
+
+
+def spend_measures(events: DataFrame) -> DataFrame:
+    """Spend events at base grain with all their measures, the latest ingested version of each event.
+
+    The envelope is parsed once. A measure that is absent, or can't be read, is null; impressions and clicks are 0 then. Rows
+    of a breakdown, without an id, or without a date that can be read are left out.
+    """
+    names = (*SPEND_TEXTS, "stat_date", "spend_minor", "impressions", "clicks", *SPEND_COUNTS, *SPEND_RATIOS)
+    rows = parsed(events, ", ".join(f"{n} string" for n in names)).withColumn("event_id", F.col("event_id").cast("string"))
+    rows = rows.where((F.coalesce("event_id", F.lit("")) != "") & (F.coalesce("breakdown_key", F.lit("")) == ""))
+    rows = newest(rows, ["brand_id", "event_id"], ["ingested_at", "occurred_at"], [*names, "occurred_at"])
+    day, zero = F.col("stat_date").try_cast("date"), F.lit(0).cast(BIG)
+    count = lambda n: F.col(n).try_cast(BIG)
+    return rows.where(day.isNotNull()).select(
+        "brand_id", F.col("event_id").alias("spend_event_id"), *SPEND_TEXTS, day.alias("stat_date"), count("spend_minor").alias("spend_minor"), *[F.coalesce(count(n), zero).alias(n) for n in ("impressions", "clicks")],
+        *[count(n).alias(n) for n in SPEND_COUNTS], *[F.col(n).try_cast("double").alias(n) for n in SPEND_RATIOS], "occurred_at",
+    )
