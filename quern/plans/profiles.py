@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import journeystitch as S
 from quern.operators import profile as P
 from quern.operators import silver as V
+from quern.operators.identity import identifier_hash
 from quern.plans import journeys as J
 from quern.plans.catalogue import query
 from quern.plans.folds import NODE_SQL, brand, nodes, text
-from quern.plans.revenue import states
+from quern.plans.revenue import ledger, states
 from quern.plans.shop import AS_OF, lines, sql
 from quern.session import table
 
@@ -99,3 +101,37 @@ def whole_profile(spark: SparkSession, sf_dir: str, changed: DataFrame | None =
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer profile with all its columns, without profiles that were merged away."""
     return P.without_merged(whole_profile(spark, sf_dir), identity_bands(spark, sf_dir))
+
+
+def visitor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity links of customers to visitors: some have two, some are inactive, some name visitors that never came."""
+    c = F.col("c_custkey")
+    link = lambda v, there: F.when(there, identifier_hash("x1", "anon_id", text(v)))
+    named = F.array_compact(F.array(link(c, F.lit(True)), link(c + 3, c % 10 == 0)))
+    rows = table(spark, sf_dir, "customer").select(brand("c_custkey"), c.alias("profile_id"), (c % 7 != 0).alias("is_active"), F.explode(named).alias("identifier_hash"))
+    return rows.withColumn("identifier_type", F.lit("anon_id"))
+
+
+STITCH_SQL = """
+, vs AS (SELECT DISTINCT brand_id, visitor_id FROM e),
+lk AS (SELECT DISTINCT 'b' || CAST(c_custkey % 3 AS VARCHAR) AS brand_id, c_custkey AS profile_id, c_custkey + d AS v FROM customer CROSS JOIN (VALUES (0), (3)) AS x(d) WHERE c_custkey % 7 <> 0 AND (d = 0 OR c_custkey % 10 = 0)),
+kv AS (SELECT lk.brand_id, profile_id, min(visitor_id) AS visitor_id, count(DISTINCT visitor_id) AS n FROM lk JOIN vs ON vs.brand_id = lk.brand_id AND vs.visitor_id = v GROUP BY 1, 2),
+so AS (SELECT os.brand_id, order_id, CAST(visitor_id AS VARCHAR) AS visitor_id, profile_id FROM os JOIN kv ON kv.brand_id = os.brand_id AND kv.profile_id = os.customer_id WHERE n = 1)
+"""
+
+
+def stitches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    visitors = S.known_visitors(J.touches(spark, sf_dir), visitor_links(spark, sf_dir), "x1")
+    return visitors, S.stitched_orders(ledger(spark, sf_dir).withColumn("profile_id", F.col("customer_id")), visitors)
+
+
+@query("q_journey_stitch", sql(STITCH_SQL + "SELECT * FROM so"))
+def journey_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stitched to the one visitor that their customer is linked to."""
+    return stitches(spark, sf_dir)[1]
+
+
+@query("q_journey_stitch_outcome", sql(STITCH_SQL + "SELECT k.brand_id, coalesce(s.n, 0) AS stitched, k.n AS ambiguous FROM (SELECT brand_id, count(*) FILTER (WHERE n > 1) AS n FROM kv GROUP BY 1) k LEFT JOIN (SELECT brand_id, count(*) AS n FROM so GROUP BY 1) s USING (brand_id)"))
+def journey_stitch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders each brand's run stitched, and how many customers it passed over."""
+    return S.outcome(*stitches(spark, sf_dir))
