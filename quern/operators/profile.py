@@ -22,12 +22,12 @@ def known(c: str) -> Column:
 
 
 def order_facts(states: DataFrame, as_of: str) -> DataFrame:
-    """Outcome counts, and frequency and recency of orders, in one aggregate of (placed_at, order_id, state)."""
+    """Outcome counts, and frequency and recency of orders, in one aggregate; an order is one row."""
     last = F.max("placed_at")
     of = lambda s: F.count_if(F.col("state") == s).alias(f"{s}_orders")
     each = states.where(F.col("profile_id").isNotNull()).groupBy(*KEYS)
     return each.agg(
-        *[of(s) for s in ("delivered", "rto", "cancelled", "refunded")], F.count_distinct("order_id").alias("frequency"), last.alias("last_order_at"),
+        *[of(s) for s in ("delivered", "rto", "cancelled", "refunded")], F.count("order_id").alias("frequency"), last.alias("last_order_at"),
         F.date_diff(F.lit(as_of).cast("date"), last).alias("recency_days"),
     )
 
@@ -75,7 +75,7 @@ def devices(touches: DataFrame, views: DataFrame) -> DataFrame:
 
 def categories(states: DataFrame, lines: DataFrame) -> DataFrame:
     """Most frequent title among each customer's order lines."""
-    owners = states.where(F.col("profile_id").isNotNull()).select(*KEYS, "order_id").distinct()
+    owners = states.where(F.col("profile_id").isNotNull()).select(*KEYS, "order_id")
     rows = lines.where(known("title")).select("brand_id", "order_id", "title").join(owners, ["brand_id", "order_id"])
     return mode(rows, KEYS, "title", "top_category")
 
@@ -93,7 +93,7 @@ def profiles(
 ) -> DataFrame:
     """The profile of each of ``customers``.
 
-    ``states`` has brand_id, profile_id, order_id, state, placed_at; ``touches`` brand_id, profile_id (null where not
+    ``states`` has brand_id, profile_id, order_id, state, placed_at, one row an order; ``touches`` brand_id, profile_id (null where not
     stitched), visitor_id, occurred_at, touch_seq, event_type, channel, page_type, product_handle, order_id,
     is_first_touch; ``views`` brand_id, visitor_id, device; ``lines`` brand_id, order_id, title. A customer without
     touches, views or lines has nulls there, zeros in its counts. With ``changed`` (keys), only those customers are
