@@ -66,3 +66,9 @@ def order_state(events: DataFrame, keys: list[str]) -> DataFrame:
         F.max("effective_at").alias("last_at"),
         F.max(F.when(provisional, F.col("signed_minor"))).alias("amount_minor"),
     )
+
+
+def composition(ledger: DataFrame, as_of: str) -> DataFrame:
+    """What realised revenue is made of up to and with a day: signed sums by tenant, event and currency, without provisional ones."""
+    rows = ledger.where((F.col("effective_at").cast("date") <= F.lit(as_of).cast("date")) & (F.col("event_type") != "provisional_recognition"))
+    return rows.groupBy("brand_id", "event_type", "currency_code").agg(F.coalesce(F.sum("signed_minor"), F.lit(0)).cast("bigint").alias("amount_minor"))

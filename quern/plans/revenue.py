@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalars import bps, deterministic_id
 from quern.operators.marts import histogram
-from quern.operators.recognition import order_state, recognise
+from quern.operators.recognition import composition, order_state, recognise
 from quern.plans.catalogue import query
 from quern.plans.shop import AS_OF, lines, orders, sql
 
@@ -227,3 +227,13 @@ def realized_gmv_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = (at >= F.lit("1999-01-01").cast("timestamp")) & (at < F.lit("1999-04-01").cast("timestamp"))
     events = ledger(spark, sf_dir).where((F.col("event_type") != "provisional_recognition") & inside)
     return events.groupBy("brand_id", "currency_code").agg(total("signed_minor").alias("realized_minor"), F.count_distinct("order_id").alias("orders"))
+
+
+@query(
+    "q_gmv_composition",
+    sql("""SELECT brand_id, event_type, currency_code, CAST(sum(amount_minor) AS BIGINT) AS amount_minor FROM r
+  WHERE CAST(effective_at AS DATE) <= DATE '1997-06-30' AND event_type <> 'provisional_recognition' GROUP BY 1, 2, 3"""),
+)
+def gmv_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realised revenue by event and currency as of a day inside the data."""
+    return composition(ledger(spark, sf_dir), "1997-06-30")
