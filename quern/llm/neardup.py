@@ -9,10 +9,12 @@
    to the weighted Jaccard similarity. Points after an adaptive stop time can't count and are
    never made; a text whose components aren't all met by then goes on with twice the time.
 3. Bands of the signature are buckets. Texts of a bucket are compared with its smallest text.
-   Where buckets still span several components, the texts that such buckets connect make a group,
-   and all its texts of different components are compared: in blocks of bounded size, two blocks
-   a task, by products of their incidence matrices. A task gives only the links that join
-   components, so pairs are neither listed nor moved, and no link between components is lost.
+   Where buckets still span several components, all their texts are searched for further links by
+   prefixes: shingles in one order, those of a single component first, then from rare to frequent.
+   Two texts that reach the threshold share one of their first shingles, with enough left after it,
+   so only texts met there are compared. A shingle that starts very many texts makes them a group,
+   whose texts are compared in blocks of bounded size, those of sizes that fit with each other, by
+   products of their incidence matrices. No link between components is lost.
 4. A pair counts if the exact multiset overlap of its whole texts reaches the threshold. Components
    follow by contraction of verified links.
 
@@ -42,6 +44,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 BLOCK = 128
 HOT = 256
+LIST = 128
 
 _U = np.uint64
 
@@ -219,29 +222,63 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np
     return out
 
 
-def _joining(rest: DataFrame, own, k: int, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between components among the texts of torn buckets (rows band, h, b, comp)."""
-    group = components(rest.select(F.col("h").alias("a"), "b").distinct()).withColumnRenamed("comp", "g")
-    nodes = cut(rest.select("h", "comp").distinct().join(group, "h"))
-    sizes = nodes.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    dealt = nodes.join(sizes, "g").withColumn("i", F.pmod(F.xxhash64("h"), F.col("n_blocks")).cast("int"))
-    sets = own(nodes.select("h")).mapInArrow(_elements(k), "h binary, elements array<bigint>")
-    rows = dealt.join(sets, "h").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "h", "comp", "elements")
+def _entries(sets: DataFrame, threshold: float) -> DataFrame:
+    """Where the texts of ``sets`` (t, c, n, elements) may meet texts of other components: e, t, c, n, place, low.
+
+    Elements have one order for all texts: those of a single component, then the others from rare to frequent.
+    Two texts that reach the threshold hold their first common element within the first n - ceil(threshold * n) + 1
+    of the longer one, and within a shorter stretch (``low``) of the other: overlap must still be possible after it.
+    Elements of a single component are never common to a pair that counts, so they are places only.
+    """
+    met = sets.select("t", "c", F.explode("elements").alias("e"))
+    common = met.groupBy("e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
+    ranked = lookup(met.select("t", "e"), cut(common.select("e", "f")), ["e"], "inner").groupBy("t").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("ranked"))
+    n, alone = F.col("n"), F.col("n") - F.size("ranked")
+    first = lambda share: (n - F.ceil(n * share - 1e-9) + 1).cast("int")
+    rows = sets.select("t", "c", "n").join(ranked, "t").withColumn("alone", alone)
+    rows = rows.select("t", "c", "n", "alone", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first(threshold) - F.col("alone"), F.lit(0)))))
+    place = F.col("alone") + F.col("pos")
+    return rows.select(F.col("col.e").alias("e"), "t", "c", "n", place.alias("place"), (place < first(2 * threshold / (1 + threshold))).alias("low"))
+
+
+def _met(listed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) of text numbers that meet in a list, are of different components and can reach the threshold."""
+    long, short = (listed.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("t", "c", "n", "place", "low")]) for s in "xy")
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    fits = (F.col("n_y") >= F.col("n_x") * threshold - 1e-9) & (left >= (F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-6)
+    shorter = F.struct("n_y", "t_y") < F.struct(F.col("n_x").alias("n_y"), F.col("t_x").alias("t_y"))
+    pairs = long.join(short.where("low_y"), "e").where((F.col("c_x") != F.col("c_y")) & shorter & fits)
+    return pairs.select(F.col("t_x").alias("x"), F.col("t_y").alias("y")).distinct()
+
+
+def _blockwise(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) of components among ``members`` (g, t, c, n, elements), each with each other of its group.
+
+    Texts of a group are dealt to classes of size, of which only neighbours can reach the threshold, and classes to blocks.
+    """
+    kind = F.floor(F.log(F.col("n").cast("double")) / -np.log(threshold) + 1e-9).cast("int")
+    members = members.withColumn("s", kind)
+    sizes = members.groupBy("g", "s").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
+    blocks = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("g", "s", "i")
+    other = blocks.select("g", F.col("s").alias("s2"), F.col("i").alias("i2"))
+    pairs = blocks.withColumn("s2", F.explode(F.array(F.col("s"), F.col("s") + 1))).join(other, ["g", "s2"])
+    pairs = cut(pairs.where((F.col("s") != F.col("s2")) | (F.col("i") <= F.col("i2"))).withColumn("pair", F.monotonically_increasing_id()))
+    dealt = members.join(sizes, ["g", "s"]).withColumn("i", F.pmod(F.xxhash64("t"), F.col("n_blocks")).cast("int")).select("g", "s", "i", "c", "elements")
+    sides = [pairs.select("pair", "g", "s", "i", F.lit(0).alias("side")), pairs.select("pair", "g", F.col("s2").alias("s"), F.col("i2").alias("i"), F.lit(1).alias("side"))]
+    rows = dealt.join(sides[0].union(sides[1]), ["g", "s", "i"]).select("pair", "side", "c", "elements")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = frame["lo"].iloc[0], frame["hi"].iloc[0]
-        x, y = frame[frame["i"] == low], frame[frame["i"] == high]
+        x, y = frame[frame["side"] == 0], frame[frame["side"] == 1]
         found = []
         if len(x) and len(y):
             sx, sy = ([np.asarray(v, np.int64) for v in f["elements"]] for f in (x, y))
             shared = _shared(sx, sy)
             nx, ny = np.array([len(v) for v in sx]), np.array([len(v) for v in sy])
             alike = shared >= threshold * (nx[:, None] + ny[None, :] - shared) - 1e-6
-            cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
+            cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
             at = {c: c for c in (*cx, *cy)}
 
-            def top(c: bytes) -> bytes:
+            def top(c: int) -> int:
                 while at[c] != c:
                     c = at[c]
                 return c
@@ -253,7 +290,35 @@ def _joining(rest: DataFrame, own, k: int, threshold: float, block: int = BLOCK)
                     found.append((cx[p], cy[q]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return cut(rows.groupBy("g", "lo", "hi").applyInPandas(compare, "a binary, b binary"))
+    return rows.groupBy("pair").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _joining(rest: DataFrame, own, k: int, threshold: float, most: int = LIST, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between components among all texts of torn buckets (rows h, comp): none that counts is lost.
+
+    Lists of more than ``most`` texts of their shorter kind connect texts to groups, which are compared blockwise.
+    """
+    comps = cut(rest.select("comp").distinct().withColumn("c", F.monotonically_increasing_id()))
+    nodes = cut(rest.select("h", "comp").distinct().join(comps, "comp").select("h", "c").withColumn("t", F.monotonically_increasing_id()))
+    sets = own(nodes.select("h")).mapInArrow(_elements(k), "h binary, elements array<bigint>")
+    sets = cut(nodes.join(sets, "h").select("t", "c", F.size("elements").alias("n"), "elements"))
+    entries = cut(_entries(sets, threshold))
+    lists = entries.groupBy("e").agg(F.count_if("low").alias("lows"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    lists = cut(lists.where((F.col("lows") > 0) & (F.col("c0") != F.col("c1"))).select("e", "lows"))
+    pairs = cut(_met(lookup(entries, lists.where(F.col("lows") <= most).select("e"), ["e"], "inner"), threshold))
+    x, y = (nodes.select(F.col("t").alias(t), F.col("h").alias(h)) for t, h in (("x", "a"), ("y", "b")))
+    named = cut(pairs.join(x, "x").join(y, "y").select("a", "b"))
+    sure = verified(named, own(named.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold)
+    ends = [nodes.select(F.col("h").alias(e), F.col("c").alias(f"c{e}")) for e in "ab"]
+    links = sure.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    hot = lists.where(F.col("lows") > most).select("e")
+    if hot.limit(1).count():
+        hot = cut(lookup(entries, hot, ["e"], "inner").select("e", "t"))
+        edges = hot.join(hot.groupBy("e").agg(F.min("t").alias("b")), "e").select(F.col("t").alias("a"), "b").distinct()
+        group = components(edges).select(F.col("h").alias("t"), F.col("comp").alias("g"))
+        links = links.union(_blockwise(sets.join(group, "t"), threshold, block))
+    names = [comps.select(F.col("c").alias(e), F.col("comp").alias(f"c{e}")) for e in "ab"]
+    return cut(links.distinct().join(names[0], "a").join(names[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
 
 def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
