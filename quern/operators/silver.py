@@ -197,3 +197,11 @@ def spend_measures(events: DataFrame) -> DataFrame:
         "brand_id", F.col("event_id").alias("spend_event_id"), *SPEND_TEXTS, day.alias("stat_date"), count("spend_minor").alias("spend_minor"), *[F.coalesce(count(n), zero).alias(n) for n in ("impressions", "clicks")],
         *[count(n).alias(n) for n in SPEND_COUNTS], *[F.col(n).try_cast("double").alias(n) for n in SPEND_RATIOS], "occurred_at",
     )
+
+
+def form_submissions(events: DataFrame) -> DataFrame:
+    """Submitted forms by event, the latest ingested version of each: structure only, never what was entered."""
+    fields = "form_id string, form_name string, landing_path string, referrer string, session_id string, brain_anon_id string, device struct<ua_class string, viewport string>"
+    rows = parsed(events.where(F.col("event_id").isNotNull() & F.col("brand_id").isNotNull()), fields)
+    told = ["form_id", "form_name", F.col("landing_path").alias("page"), "referrer", "session_id", "brain_anon_id", F.col("device.ua_class").alias("device_class"), F.col("device.viewport").alias("viewport")]
+    return newest(rows, ["brand_id", "event_id"], ["ingested_at", "occurred_at"], [*told, "occurred_at", "ingested_at"])
