@@ -205,3 +205,17 @@ def form_submissions(events: DataFrame) -> DataFrame:
     rows = parsed(events.where(F.col("event_id").isNotNull() & F.col("brand_id").isNotNull()), fields)
     told = ["form_id", "form_name", F.col("landing_path").alias("page"), "referrer", "session_id", "brain_anon_id", F.col("device.ua_class").alias("device_class"), F.col("device.viewport").alias("viewport")]
     return newest(rows, ["brand_id", "event_id"], ["ingested_at", "occurred_at"], [*told, "occurred_at", "ingested_at"])
+
+
+# The texts of a settlement, in the table's order.
+SETTLEMENT_TEXTS = ("source", "entity_type", "settlement_id", "order_id", "payment_id_hash", "utr_hash", "refund_id_hash", "dispute_id_hash", "dispute_lifecycle", "dispute_direction", "status", "reconciliation_type")
+
+
+def settlement_details(events: DataFrame) -> DataFrame:
+    """Settlements with every field, the latest ingested version of each event; defaults as in ``settlements``."""
+    amounts = ("amount_minor", "fee_minor", "tax_minor")
+    fields = ", ".join(f"{n} string" for n in (*SETTLEMENT_TEXTS, *amounts, "currency_code", "settlement_at"))
+    rows = parsed(events.where(F.col("event_id").isNotNull() & F.col("brand_id").isNotNull()), fields)
+    whole = [F.coalesce(F.col(n).try_cast(BIG), F.lit(0).cast(BIG)).alias(n) for n in amounts]
+    told = [*SETTLEMENT_TEXTS, *whole, F.coalesce("currency_code", F.lit("INR")).alias("currency_code"), F.col("settlement_at").try_cast("timestamp").alias("settlement_at")]
+    return newest(rows, ["brand_id", "event_id"], ["ingested_at", "occurred_at"], [*told, "occurred_at", "ingested_at"])

@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from quern.plans import customers, folds, journeys, lanes, members, metrics, platform, products, profiles, reads, resolution, revenue, series, spend, upkeep  # noqa: E402,F401
+from quern.plans import customers, folds, journeys, lanes, members, metrics, platform, products, profiles, reads, resolution, revenue, series, settled, spend, upkeep  # noqa: E402,F401
