@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.session import ship, stored, table
+from quern.session import shelf, ship, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 

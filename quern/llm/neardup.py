@@ -27,7 +27,7 @@ ignored by ``classes``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.bytetext import mix, overlap, unit, weighted
-from quern.llm.common import cut, lookup, python_workers
+from quern.llm.common import cut, lookup, python_workers, shelf
 from quern.operators.identity import components as linked
 
 WORDS = 5
@@ -45,6 +45,9 @@ BANDS, ROWS = 24, 6
 BLOCK = 128
 HOT = 256
 LIST = 128
+EARLIER = 32
+
+Keep = Callable[[DataFrame], DataFrame]
 
 _U = np.uint64
 
@@ -152,13 +155,13 @@ def _near(threshold: float, m: int) -> Column:
     return (F.least(*weights) >= threshold * F.greatest(*weights)) & (agree >= int(least))
 
 
-def _with_ends(pairs: DataFrame, of: DataFrame, hot: int = HOT) -> DataFrame:
+def _with_ends(pairs: DataFrame, of: DataFrame, hot: int = HOT, keep: Keep = cut) -> DataFrame:
     """``pairs`` (a, b) with the columns of ``of`` (by h) for either end, as x_a and x_b.
 
     A text that is ``b`` in more than ``hot`` pairs is dealt in as many copies as spread them over tasks.
     """
     names = [c for c in of.columns if c != "h"]
-    heavy = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("_n")).where(F.col("_n") > 1))
+    heavy = keep(pairs.groupBy("b").agg(F.ceil(F.count("*") / hot).cast("int").alias("_n")).where(F.col("_n") > 1))
     n = F.coalesce(F.col("_n"), F.lit(1))
     pairs = lookup(pairs, heavy, ["b"]).withColumn("_salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("_n")
     a = of.select(F.col("h").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
@@ -167,20 +170,20 @@ def _with_ends(pairs: DataFrame, of: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.join(a, "a").join(b, ["b", "_salt"]).drop("_salt")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, hot: int = HOT) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float, hot: int = HOT, keep: Keep = cut) -> DataFrame:
     """The pairs (a, b) of digests whose texts overlap by ``threshold``; ``texts`` has h and text."""
 
     @F.pandas_udf("double")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series(overlap(pa.array(x, pa.large_string()), pa.array(y, pa.large_string()), k))
 
-    both = _with_ends(pairs, texts, hot).withColumn("similarity", same("text_a", "text_b"))
+    both = _with_ends(pairs, texts, hot, keep).withColumn("similarity", same("text_a", "text_b"))
     return both.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = cut) -> DataFrame:
     """(h, comp) of every end of an edge (a, b): comp is the smallest h that it can reach."""
-    return linked(edges).select(F.col("node").alias("h"), F.col("component").alias("comp"))
+    return linked(edges, keep=keep).select(F.col("node").alias("h"), F.col("component").alias("comp"))
 
 
 def _elements(k: int):
@@ -223,12 +226,13 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray], columns: int = 8192) -> np
 
 
 def _entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """Where the texts of ``sets`` (t, c, n, elements) may meet texts of other components: e, t, c, n, place, low.
+    """Where the texts of ``sets`` (t, c, n, elements) may meet texts of other components: e, t, c, n, place, low, before.
 
     Elements have one order for all texts: those of a single component, then the others from rare to frequent.
     Two texts that reach the threshold hold their first common element within the first n - ceil(threshold * n) + 1
     of the longer one, and within a shorter stretch (``low``) of the other: overlap must still be possible after it.
     Elements of a single component are never common to a pair that counts, so they are places only.
+    ``before`` has the text's last EARLIER elements before this one.
     """
     met = sets.select("t", "c", F.explode("elements").alias("e"))
     common = met.groupBy("e").agg(F.count("*").alias("f"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(F.col("c0") != F.col("c1"))
@@ -236,18 +240,25 @@ def _entries(sets: DataFrame, threshold: float) -> DataFrame:
     n, alone = F.col("n"), F.col("n") - F.size("ranked")
     first = lambda share: (n - F.ceil(n * share - 1e-9) + 1).cast("int")
     rows = sets.select("t", "c", "n").join(ranked, "t").withColumn("alone", alone)
-    rows = rows.select("t", "c", "n", "alone", F.posexplode(F.slice("ranked", F.lit(1), F.greatest(first(threshold) - F.col("alone"), F.lit(0)))))
+    rows = rows.withColumn("ranked", F.slice("ranked.e", F.lit(1), F.greatest(first(threshold) - F.col("alone"), F.lit(0))))
+    near = lambda e, i: F.struct(e.alias("e"), F.slice("ranked", F.greatest(i - EARLIER, F.lit(0)) + 1, F.least(i, F.lit(EARLIER))).alias("before"))
+    rows = rows.select("t", "c", "n", "alone", F.posexplode(F.transform("ranked", near)))
     place = F.col("alone") + F.col("pos")
-    return rows.select(F.col("col.e").alias("e"), "t", "c", "n", place.alias("place"), (place < first(2 * threshold / (1 + threshold))).alias("low"))
+    return rows.select("col.e", "t", "c", "n", place.alias("place"), (place < first(2 * threshold / (1 + threshold))).alias("low"), "col.before")
 
 
 def _met(listed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) of text numbers that meet in a list, are of different components and can reach the threshold."""
-    long, short = (listed.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("t", "c", "n", "place", "low")]) for s in "xy")
+    """Pairs (x, y) of text numbers that meet in a list, are of different components and can reach the threshold.
+
+    Texts that share one of their last elements before this one have met there, where as much or more was left, or in
+    the group of that element if its list is too long. So near copies meet once, not at each of their first elements.
+    """
+    long, short = (listed.select("e", *[F.col(c).alias(f"{c}_{s}") for c in ("t", "c", "n", "place", "low", "before")]) for s in "xy")
     left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     fits = (F.col("n_y") >= F.col("n_x") * threshold - 1e-9) & (left >= (F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-6)
     shorter = F.struct("n_y", "t_y") < F.struct(F.col("n_x").alias("n_y"), F.col("t_x").alias("t_y"))
-    pairs = long.join(short.where("low_y"), "e").where((F.col("c_x") != F.col("c_y")) & shorter & fits)
+    new = ~F.arrays_overlap("before_x", "before_y")
+    pairs = long.join(short.where("low_y"), "e").where((F.col("c_x") != F.col("c_y")) & shorter & fits & new)
     return pairs.select(F.col("t_x").alias("x"), F.col("t_y").alias("y")).distinct()
 
 
@@ -293,7 +304,7 @@ def _blockwise(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return rows.groupBy("pair").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _joining(rest: DataFrame, own, k: int, threshold: float, most: int = LIST, block: int = BLOCK) -> DataFrame:
+def _joining(rest: DataFrame, own, k: int, threshold: float, most: int = LIST, block: int = BLOCK, keep: Keep = cut) -> DataFrame:
     """Links (a, b) between components among all texts of torn buckets (rows h, comp): none that counts is lost.
 
     Lists of more than ``most`` texts of their shorter kind connect texts to groups, which are compared blockwise.
@@ -304,18 +315,18 @@ def _joining(rest: DataFrame, own, k: int, threshold: float, most: int = LIST, b
     sets = cut(nodes.join(sets, "h").select("t", "c", F.size("elements").alias("n"), "elements"))
     entries = cut(_entries(sets, threshold))
     lists = entries.groupBy("e").agg(F.count_if("low").alias("lows"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    lists = cut(lists.where((F.col("lows") > 0) & (F.col("c0") != F.col("c1"))).select("e", "lows"))
-    pairs = cut(_met(lookup(entries, lists.where(F.col("lows") <= most).select("e"), ["e"], "inner"), threshold))
+    lists = keep(lists.where((F.col("lows") > 0) & (F.col("c0") != F.col("c1"))).select("e", "lows"))
+    pairs = _met(lookup(entries, lists.where(F.col("lows") <= most).select("e"), ["e"], "inner"), threshold)
     x, y = (nodes.select(F.col("t").alias(t), F.col("h").alias(h)) for t, h in (("x", "a"), ("y", "b")))
     named = cut(pairs.join(x, "x").join(y, "y").select("a", "b"))
-    sure = verified(named, own(named.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold)
+    sure = verified(named, own(named.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold, keep=keep)
     ends = [nodes.select(F.col("h").alias(e), F.col("c").alias(f"c{e}")) for e in "ab"]
     links = sure.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     hot = lists.where(F.col("lows") > most).select("e")
     if hot.limit(1).count():
-        hot = cut(lookup(entries, hot, ["e"], "inner").select("e", "t"))
+        hot = keep(lookup(entries, hot, ["e"], "inner").select("e", "t"))
         edges = hot.join(hot.groupBy("e").agg(F.min("t").alias("b")), "e").select(F.col("t").alias("a"), "b").distinct()
-        group = components(edges).select(F.col("h").alias("t"), F.col("comp").alias("g"))
+        group = components(edges, keep).select(F.col("h").alias("t"), F.col("comp").alias("g"))
         links = links.union(_blockwise(sets.join(group, "t"), threshold, block))
     names = [comps.select(F.col("c").alias(e), F.col("comp").alias(f"c{e}")) for e in "ab"]
     return cut(links.distinct().join(names[0], "a").join(names[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
@@ -324,33 +335,38 @@ def _joining(rest: DataFrame, own, k: int, threshold: float, most: int = LIST, b
 def text_classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per different text: h, its smallest doc_id and ``comp``, the digest that names its class."""
     signed = cut(signed_texts(docs, k, bands, rows))
+    with shelf() as keep:  # for small frames alone: what held frames were made from stays on disk with them
+        return _classed(docs, signed, keep, k, threshold, bands * rows)
+
+
+def _classed(docs: DataFrame, signed: DataFrame, keep: Keep, k: int, threshold: float, m: int) -> DataFrame:
     full = signed.where(F.col("weight") > 0)
     texts = docs.select(F.col("doc_id").alias("_id"), digest_of(F.col("text")).alias("_h"), F.coalesce("text", F.lit("")).alias("text"))
 
     def own(hs: DataFrame) -> DataFrame:
         """The texts of digests ``h``, each from the document of its smallest doc_id."""
-        ends = cut(hs.distinct().join(signed.select("h", "doc_id"), "h"))
+        ends = keep(hs.distinct().join(signed.select("h", "doc_id"), "h"))
         at = (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("doc_id"))
         return lookup(texts, ends, at, "inner").select("h", "text").dropDuplicates(["h"])
 
     in_band = full.select("h", F.explode("bands").alias("band"))
     first = in_band.groupBy("band").agg(F.min("h").alias("b"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
     member = cut(in_band.join(first, "band"))  # only buckets of several texts
-    pairs = cut(member.where(F.col("h") != F.col("b")).select(F.col("h").alias("a"), "b").distinct())
-    used = cut(_with_ends(pairs, full.select("h", "weight", "sig")).where(_near(threshold, bands * rows)).select("a", "b"))
-    links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold).select("a", "b"))
-    comp = cut(components(links))
-    placed = cut(member.join(comp, "h", "left").select("band", "h", "b", F.coalesce("comp", "h").alias("comp")))
+    pairs = keep(member.where(F.col("h") != F.col("b")).select(F.col("h").alias("a"), "b").distinct())
+    used = cut(_with_ends(pairs, full.select("h", "weight", "sig"), keep=keep).where(_near(threshold, m)).select("a", "b"))
+    links = cut(verified(used, own(used.select(F.explode(F.array("a", "b")).alias("h"))), k, threshold, keep=keep).select("a", "b"))
+    comp = keep(components(links, keep))
+    placed = member.join(comp, "h", "left").select("band", "h", F.coalesce("comp", "h").alias("comp"))
     torn = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where(F.col("least") != F.col("most")).select("band")
     rest = cut(placed.join(torn, "band", "left_semi"))
     if rest.limit(1).count():
-        more = _joining(rest, own, k, threshold)
+        more = _joining(rest, own, k, threshold, keep=keep)
         if more.limit(1).count():
             # Links between components: their own components rename those found so far.
-            renamed = components(more).select(F.col("h").alias("comp"), F.col("comp").alias("_to"))
+            renamed = components(more, keep).select(F.col("h").alias("comp"), F.col("comp").alias("_to"))
             alone = more.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(comp, "h", "left_anti").select("h", F.col("h").alias("comp"))
             comp = comp.unionByName(alone).join(renamed, "comp", "left").select("h", F.coalesce("_to", "comp").alias("comp"))
-    return signed.select("h", "doc_id").join(comp, "h", "left").select("h", "doc_id", F.coalesce("comp", "h").alias("comp"))
+    return cut(signed.select("h", "doc_id").join(comp, "h", "left").select("h", "doc_id", F.coalesce("comp", "h").alias("comp")))
 
 
 def _leaders(classes: DataFrame) -> DataFrame:

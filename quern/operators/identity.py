@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,17 +17,18 @@ from quern.session import ship, stored, unsized
 FEW_LINKS = 100_000
 
 
-def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_LINKS, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(node, component) for edges (a, b): the smallest node that a node is linked with.
 
     Contraction: each round every node is merged into the first node of its closed neighbourhood, until at most
     ``few`` links are left, which one task settles; then merges are followed back. "First" is by the nodes' own
     order and by a fresh random one in turn. The first of these ends stars at once; the second takes a quarter
     of the nodes or more in expectation, whatever the graph, so rounds are logarithmic, and labels are final.
+    ``keep`` is where links wait between rounds (see ``shelf``); the result's labels are stored.
     """
     ship(edges.sparkSession)
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = unsized(stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
+    both = unsized(keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()))
     merges: list[DataFrame] = []
     while both.count() > few:
         if len(merges) % 2:
@@ -35,11 +36,11 @@ def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
             first = F.least(F.min(at("b")), at("a"))["n"]
         else:
             first = F.least(F.min("b"), F.col("a"))
-        into = unsized(stored(both.groupBy("a").agg(first.alias("c")).select(F.col("a").alias("node"), "c")))
+        into = unsized(keep(both.groupBy("a").agg(first.alias("c")).select(F.col("a").alias("node"), "c")))
         merges.append(into)
         left, right = into.select(F.col("node").alias("a"), F.col("c").alias("ca")), into.select(F.col("node").alias("b"), F.col("c").alias("cb"))
         open_ = both.join(left, "a").join(right, "b").where(F.col("ca") != F.col("cb"))
-        both = unsized(stored(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
+        both = unsized(keep(open_.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
     kind = both.schema["a"].dataType.simpleString()
     labels = both.coalesce(1).mapInPandas(_settled, f"node {kind}, c {kind}")
     while merges:

@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -78,3 +81,25 @@ def unsized(df: DataFrame) -> DataFrame:
     """
     session, plan = df.sparkSession, df._jdf.queryExecution()
     return DataFrame(session._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), session)
+
+
+@contextmanager
+def shelf() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that runs a frame once and goes on from its rows, which stay on the executors' disks until the block ends.
+
+    Rows of a lost executor are made again, so a frame must come out the same each time: ids by place, and what
+    outlives the block, are ``stored``; so is what took large shuffles, as those stay with held rows. Unlike there, a task writes no file of the shared folder; on a local one
+    without Hadoop's native library each such file starts two processes.
+    """
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        df.count()
+        return unsized(df)
+
+    try:
+        yield hold
+    finally:
+        for df in held:
+            df.unpersist()
